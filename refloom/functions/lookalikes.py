@@ -1,12 +1,11 @@
 """Characters that look like others."""
 
-# Cyrillic, Greek and a few other letters drawn like a Latin letter.
+# Letters of other scripts that are drawn like a Latin letter.
 LOOKALIKES = {
-    "А": "A", "В": "B", "Е": "E", "З": "3", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Һ": "h", "Ԛ": "Q", "Ԝ": "W",
-    "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l", "Ӏ": "I",
+    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W",
+    "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ι": "i", "ρ": "p", "α": "a", "υ": "u", "γ": "y",
-    "ı": "i", "ɡ": "g", "ɑ": "a", "ⅼ": "l", "ո": "n", "ս": "u", "օ": "o", "հ": "h",
-}
+    "ο": "o", "ϲ": "c", "ϳ": "j", "ɡ": "g", "ո": "n", "ս": "u", "օ": "o", "հ": "h", "‐": "-", "‑": "-",
+}
 
 FOLD = str.maketrans(LOOKALIKES)
