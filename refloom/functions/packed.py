@@ -118,12 +118,13 @@ def candidates(field: str, kind: str) -> list[tuple[str, list[str], float]]:
             cut = _rejoin(cut)
         if kind == "code":  # a field may mix delimiters; what is left in a piece is cut by the weaker ones
             cut = [q for p in cut for q in re.split(r"[;|,\s]+|\s/\s|^/$", p)]
-        pieces = [p for p in (_tidy(_shown(p, parts)) for p in cut) if p]
-        if kind == "code":
-            pieces = [p for p in pieces if p != "/"]
-        if pieces:
+        raw = [(p, q) for p in cut if (q := _tidy(_shown(p, parts))) and not (kind == "code" and q == "/")]
+        if raw:
             quoted = {_tidy(p) for p in parts}
-            out.append((name, pieces, sum(p in quoted or _typed(p, kind) for p in pieces) / len(pieces)))
+            # a piece in which another delimiter is left is not one value
+            left = [s for n, s in _SIGN.items() if n not in (name, "comma", "space") and not (name == "and" and n == "comma")]
+            good = sum(not any(s.search(p.strip()) for s in left) and (q in quoted or _typed(q, kind)) for p, q in raw)
+            out.append((name, [q for _, q in raw], good / len(raw)))
     return out
 
 
