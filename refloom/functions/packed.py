@@ -20,6 +20,7 @@ _HIDDEN = re.compile(r'\{[^{}]*\}|"[^"]*"')
 _SHOWN = re.compile("[\U000F0000-\U000FFFFD]")
 # A remark that further authors follow is not a value.
 _REMARK = re.compile(r"(?:[\s,;|/&]|\band\b)*(?:\bet\s+al\b|\band\s+others\b|\bothers\b|\bu\.\s?a\.)[\s;,.|/]*$", re.I)
+_HINT = re.compile(r"al\b|others|a\.\s*$", re.I)
 _INITIALS = re.compile(r"(?:[^\W\d_]\.?[\s-]?){1,4}$")
 _GIVEN = re.compile(r"\S+(?:\s[^\W\d_]\.?)*$")
 _WORD = r"(?:[^\W\d_a-z]['’\w]*\.?|[a-z]['’]?[^\W\d_a-z]\w+)(?:-\w+\.?)*"
@@ -29,9 +30,13 @@ _CODE = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*$")
 _EDGE = ' \t\r\n;,|"{}'
 
 
+# Anything but ASCII and accented Latin letters, which are already plain.
+_UNUSUAL = re.compile(r"[^\x00-\x7f\u00c0-\u0131\u0134-\u0148\u014a-\u017e]")
+
+
 def plain(text: str) -> str:
     """``text`` as a reader sees it: compatibility forms, invisible characters and look-alikes undone."""
-    if text.isascii():
+    if text.isascii() or not _UNUSUAL.search(text):
         return text
     text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
     return text.translate(FOLD)
@@ -99,9 +104,11 @@ def candidates(field: str, kind: str) -> list[tuple[str, list[str], float]]:
     """Each delimiter that occurs in ``field``: its name, the pieces, and the share of pieces that look like a value.
 
     Quoted and braced parts are never cut. Without any delimiter the list is empty.
+    A stronger delimiter all of whose pieces look like values ends the search:
+    any weaker cut would leave it inside a piece.
     """
     text, parts = _masked(field)
-    if kind == "name":
+    if kind == "name" and _HINT.search(text):
         text = _REMARK.sub("", text)
     text = text.strip()
     if kind == "code" and text[:1] == "[" and text[-1:] == "]":
@@ -110,9 +117,9 @@ def candidates(field: str, kind: str) -> list[tuple[str, list[str], float]]:
         text, more = re.sub(r"'([^']*)'", lambda m: f'"{m.group(1)}"', _shown(text, parts)), None
         text, parts = _masked(text)
     out = []
-    for name in DELIMITERS[kind]:
-        if not _SIGN[name].search(text.strip(" ;|\n\r,")):
-            continue
+    inner = text.strip(" ;|\n\r,")
+    present = [name for name in DELIMITERS[kind] if _SIGN[name].search(inner)]
+    for name in present:
         cut = _CUT[name].split(text)
         if kind == "name" and name in ("and", "comma"):
             cut = _rejoin(cut)
@@ -122,9 +129,11 @@ def candidates(field: str, kind: str) -> list[tuple[str, list[str], float]]:
         if raw:
             quoted = {_tidy(p) for p in parts}
             # a piece in which another delimiter is left is not one value
-            left = [s for n, s in _SIGN.items() if n not in (name, "comma", "space") and not (name == "and" and n == "comma")]
+            left = [_SIGN[n] for n in present if n not in (name, "comma", "space")]
             good = sum(not any(s.search(p.strip()) for s in left) and (q in quoted or _typed(q, kind)) for p, q in raw)
             out.append((name, [q for _, q in raw], good / len(raw)))
+            if good == len(raw) > 1:
+                break
     return out
 
 

@@ -13,84 +13,111 @@ from pyspark.sql import functions as F
 from refloom.functions.packed import candidates, choose, values
 from refloom.session import skew_join, staged
 
-_SCORED = "source string, cand string, n long, pieces double, squares double, regular double"
+_READ = "what int, row_id long, pos long, val string, source string, n long, pieces double, squares double, regular double"
+_VALUE, _UNSURE, _SCORE = 0, 1, 2
 
 
-def _score(kind: str):
-    """Arrow batches of (source, field) to partial sums by source and candidate."""
+def _rows(what: int, row_id: pa.Array, pos: list, val: list, source: list, sums: list[list] = ()) -> pa.RecordBatch:
+    n = len(val)
+    cols = [pa.array([r[k] for r in sums], t) if sums else pa.nulls(n, t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
+    return pa.RecordBatch.from_arrays([pa.array([what] * n, pa.int32()), row_id, pa.array(pos, pa.int64()), pa.array(val, pa.string()), pa.array(source, pa.string()), *cols], [c.split()[0] for c in _READ.split(", ")])
+
+
+def _read(kind: str, least: int):
+    """Arrow batches of (row_id, field, source): the values of fields whose delimiter is clear, the other fields whole, and sums for the scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0.0, 0.0, 0.0])
             known: dict[str, list] = {}
-            for source, field in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if field not in known:
-                    known[field] = [(c, len(p), r) for c, p, r in candidates(field, kind)]
-                for cand, n, regular in known[field]:
-                    s = sums[source, cand]
+            pos, val, at, unsure, unsure_at, unsure_source = [], [], [], [], [], []
+            for i, (field, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                found = known.get(field)
+                if found is None:
+                    found = known[field] = candidates(field, kind)
+                for cand, pieces, regular in found:
+                    s, n = sums[source, cand], len(pieces)
                     s[0] += 1
                     s[1] += n
                     s[2] += n * n
                     s[3] += regular
-            keys, rows = list(sums), list(sums.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.float64()) for i in (1, 2, 3))],
-                ["source", "cand", "n", "pieces", "squares", "regular"],
-            )
+                if len(found) > 1 and found[-1][2] < 1:
+                    unsure_at.append(i)
+                    unsure.append(field)
+                    unsure_source.append(source)
+                    continue
+                got = found[-1][1] if found else values(field, kind) if least < 2 else []
+                if len(got) >= least:
+                    at += [i] * len(got)
+                    pos += range(1, len(got) + 1)
+                    val += got
+            ids = batch.column(0)
+            yield _rows(_VALUE, ids.take(pa.array(at, pa.int64())), pos, val, [None] * len(val))
+            yield _rows(_UNSURE, ids.take(pa.array(unsure_at, pa.int64())), [None] * len(unsure), unsure, unsure_source)
+            yield _rows(_SCORE, pa.nulls(len(sums), pa.int64()), [None] * len(sums), [k[1] for k in sums], [k[0] for k in sums], list(sums.values()))
 
     return run
 
 
-def delimiter_scores(df: DataFrame, source: str, field: str, kind: str) -> DataFrame:
-    """(source, cand, n, score): how well each delimiter explains the fields of its source.
+def _settle(kind: str, least: int):
+    """Arrow batches of (row_id, field, prior): the values of fields that their source's scores decide."""
 
-    Over the fields where the delimiter occurs, the score is the mean share of
-    pieces that look like a value, times the consistency of the piece count
-    (1 / (1 + coefficient of variation)), times the damped share of such fields.
-    Sums are formed within each batch before they are shuffled.
-    """
-    picked = df.where(F.col(field).isNotNull()).select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(field).alias("field"))
-    part = picked.mapInArrow(_score(kind), _SCORED).groupBy("source", "cand").agg(*(F.sum(c).alias(c) for c in ("n", "pieces", "squares", "regular")))
-    mean = F.col("pieces") / F.col("n")
-    spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))) / mean
-    return part.select("source", "cand", "n", (F.col("regular") / F.col("n") / (1 + spread) * F.col("n") / (F.col("n") + 3)).alias("score"))
-
-
-def _split(kind: str, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, prior, known, pos, val, at = batch.column(0), batch.column(2), {}, [], [], []
+            pos, val, at, priors = [], [], [], batch.column(2)
             for i, field in enumerate(batch.column(1).to_pylist()):
-                found = known.get(field)
-                if found is None:
-                    found = known[field] = candidates(field, kind)
-                got = choose(found, lambda i=i: dict(prior[i].as_py() or ())) if found else values(field, kind) if least < 2 else []
+                got = choose(candidates(field, kind), lambda i=i: dict(priors[i].as_py() or ()))
                 if len(got) >= least:
                     at += [i] * len(got)
                     pos += range(1, len(got) + 1)
                     val += got
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(pos, pa.int64()), pa.array(val, pa.string())], ["row_id", "pos", "val"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int64()), pa.array(val, pa.string())], ["row_id", "pos", "val"])
 
     return run
 
 
+def delimiter_scores(read: DataFrame) -> DataFrame:
+    """(source, cand, n, score): how well each delimiter explains the fields of its source.
+
+    Over the fields where the delimiter is a candidate, the score is the mean
+    share of pieces that look like a value, times the consistency of the piece
+    count (1 / (1 + coefficient of variation)), damped where such fields are few.
+    The sums are formed within each batch before they are shuffled.
+    """
+    part = read.where(F.col("what") == _SCORE).groupBy("source", F.col("val").alias("cand")).agg(*(F.sum(c).alias(c) for c in ("n", "pieces", "squares", "regular")))
+    mean = F.col("pieces") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))) / mean
+    return part.select("source", "cand", "n", (F.col("regular") / F.col("n") / (1 + spread) * F.col("n") / (F.col("n") + 3)).alias("score"))
+
+
 def split_packed(df: DataFrame, row_id: str, field: str, source: str, kind: str = "name", single: bool = True) -> DataFrame:
     """(row_id bigint, pos bigint, val): every value of ``field``, position from 1.
 
     ``kind`` is ``name`` (people and organisations) or ``code`` (short codes).
-    The delimiter of a field is the present candidate whose pieces look most
-    like values; ties go to the delimiter with the best score in the field's
-    source (:func:`delimiter_scores`, over all its fields). ``single=False``
-    leaves out fields with one value. A null, blank or delimiter-only field has
-    no value and no row; a null source is a source of its own; repeated rows are
-    each split; other columns are ignored, whatever their names.
+    The delimiter of a field is the candidate whose pieces look most like values.
+    A candidate all of whose pieces do is clear; the other fields go by the best
+    of them within the field, ties by the delimiter's score over all fields of
+    the source (:func:`delimiter_scores`). ``single=False`` leaves out fields with
+    one value. A null, blank or delimiter-only field has no value and no row; a
+    null source is a source of its own; repeated rows are each split; other
+    columns are ignored, whatever their names.
+
+    The fields are read once. Only what is unsure is joined with the scores,
+    hot sources by a bounded broadcast.
     """
+    least = 1 if single else 2
     rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(field).alias("field"), F.coalesce(F.col(source), F.lit("")).alias("source")).where(F.col("field").isNotNull())
-    scores = staged(delimiter_scores(rows, "source", "field", kind), "delims")
-    lookup = scores.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("cand", "score"))).alias("prior"), F.max("n").alias("size"))
-    total = scores.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = skew_join(rows, lookup, ["source"], "size", total, "left")
-    return joined.select("row_id", "field", "prior").mapInArrow(_split(kind, 1 if single else 2), "row_id long, pos long, val string")
+    read = staged(rows.mapInArrow(_read(kind, least), _READ), "read")
+    clear = read.where(F.col("what") == _VALUE).select("row_id", "pos", "val")
+    unsure = read.where(F.col("what") == _UNSURE).select("row_id", F.col("val").alias("field"), "source")
+    if unsure.isEmpty():
+        return clear
+    per_source = unsure.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
+    scores = delimiter_scores(read).join(per_source, "source")
+    lookup = staged(scores.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("cand", "score"))).alias("prior"), F.max("size").alias("size")), "delims")
+    total = lookup.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    joined = skew_join(unsure, lookup, ["source"], "size", total, "left")
+    return clear.unionByName(joined.select("row_id", "field", "prior").mapInArrow(_settle(kind, least), "row_id long, pos long, val string"))
 
 
 def split_multi(df: DataFrame, row_id: str, field: str, source: str, kind: str = "name") -> DataFrame:
