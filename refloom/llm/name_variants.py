@@ -155,10 +155,10 @@ def name_entities(names: DataFrame) -> DataFrame:
     full_form = F.create_map(*[F.lit(x) for kv in _FULL.items() for x in kv])
     people = people.withColumn("formal", F.coalesce(F.try_element_at(full_form, F.col("given")), F.col("given"))).withColumn("kin", F.concat(F.when(F.col("org"), "o:").otherwise("p:"), F.when(F.col("org"), F.col("family")).otherwise(F.replace("family", F.lit("ph"), F.lit("f")))))
 
-    # 1: families, ph written as f. The kind's mark in front keeps people and organisations apart at more than no cost
+    # 1: families, ph written as f; people and organisations apart
     kin = staged(people.groupBy("kin").agg(F.sum("n").alias("w"), F.collect_set(F.substring("formal", 1, 1)).alias("letters")), "kin")
-    near = radius_join(kin, "kin", 1)
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("substring(a, 1, 2) = substring(b, 1, 2)")
+    near = staged(radius_join(kin.where("kin like 'p:%'"), "kin", 1).unionByName(radius_join(kin.where("kin like 'o:%'"), "kin", 1)), "near")
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     w = lambda x: kin.select(F.col("kin").alias(x), F.col("w").alias(f"w_{x}"), F.col("letters").alias(f"letters_{x}"))
     up = both.join(w("a"), "a").join(w("b"), "b").where((F.col("w_b") > F.col("w_a")) | ((F.col("w_b") == F.col("w_a")) & (F.col("b") < F.col("a"))))
     up = up.where(F.arrays_overlap("letters_a", "letters_b") | F.array_contains("letters_a", "") | F.array_contains("letters_b", ""))
