@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refloom.llm import bpe, format_dups, mix_pack, name_variants, quota_sample, shared_spans, visual_forms
+from refloom.llm import bpe, entity_match, format_dups, mix_pack, name_variants, quota_sample, shared_spans, visual_forms
 from refloom.session import staged, table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_match.matches(table(spark, sf_dir, "ai_citations"), table(spark, sf_dir, "registry_records")).select("ref_id", "reg_id")
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_match.matches(table(spark, sf_dir, "ai_citations"), table(spark, sf_dir, "registry_records"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.variant_pairs(table(spark, sf_dir, "ai_citations"), table(spark, sf_dir, "doi_check_ai_flags_for_review"))
 
@@ -56,4 +64,4 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_share(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_mixture": p9_mixture, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_mixture": p9_mixture, "p10_found": p10_found, "p10_share": p10_share}
