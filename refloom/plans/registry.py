@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from refloom.plans import packs
+from refloom.plans import citations, packs, texts
 
-QUERIES = {**packs.QUERIES}
-ORACLES = {**packs.ORACLES}
+QUERIES = {**citations.QUERIES, **texts.QUERIES, **packs.QUERIES}
+ORACLES = {**citations.ORACLES, **texts.ORACLES, **packs.ORACLES}
