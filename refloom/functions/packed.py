@@ -137,6 +137,20 @@ def candidates(field: str, kind: str) -> list[tuple[str, list[str], float]]:
     return out
 
 
+def first_value(field: str, kind: str = "name") -> str:
+    """The first of :func:`values` where its delimiter is clear, without cutting the rest of a long field."""
+    text, parts = _masked(field)
+    if kind == "name" and _HINT.search(text):
+        text = _REMARK.sub("", text)
+    inner = text.strip(" ;|\n\r,")
+    for name in DELIMITERS[kind]:
+        if _SIGN[name].search(inner):
+            cut = _CUT[name].split(inner, maxsplit=2)
+            piece = (_rejoin(cut) if name in ("and", "comma") and kind == "name" else cut)[0]
+            return _tidy(_shown(piece, parts))
+    return _tidy(_shown(inner, parts))
+
+
 def choose(found: list[tuple[str, list[str], float]], prior: Callable[[], dict[str, float] | None] = lambda: None) -> list[str]:
     """The pieces of the best candidate: by regularity within the field, then by its source's score, then by strength.
 
