@@ -146,7 +146,7 @@ def first_value(field: str, kind: str = "name") -> str:
     for name in DELIMITERS[kind]:
         if _SIGN[name].search(inner):
             cut = _CUT[name].split(inner, maxsplit=2)
-            piece = (_rejoin(cut) if name in ("and", "comma") and kind == "name" else cut)[0]
+            piece = (_rejoin(cut[:2]) if name in ("and", "comma") and kind == "name" else cut)[0]
             return _tidy(_shown(piece, parts))
     return _tidy(_shown(inner, parts))
 

@@ -92,7 +92,7 @@ def reference_lists(trees: DataFrame, order: str) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = read(dict(zip(pdf["path"], pdf["content"].fillna(""))))
-        return pd.DataFrame(rows, columns=["source_file", "cited_in_text", *L.REFERENCE]).assign(paper_id=pdf["paper_id"].iat[0])[[c.split()[0] for c in OUT.split(", ")]]
+        return pd.DataFrame(rows, columns=["source_file", "cited_in_text", *L.REFERENCE]).assign(paper_id=pdf["paper_id"].iat[0])[[c.split()[0] for c in OUT.split(", ")]].astype(object)
 
     return trees.select("paper_id", "path", "content").groupBy("paper_id").applyInPandas(run, OUT)
 
