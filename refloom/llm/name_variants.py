@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -33,11 +34,18 @@ ORG_WORDS = {"inst": "institute", "sem": "seminar", "ctr": "centre", "center": "
 _LINKS = {"of", "for", "on", "at", "and"}
 
 
+# Letters that no accent separates.
+_WHOLE = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "ı": "i", "æ": "ae"})
+_GAPS, _OTHER = re.compile(r"[\s_-]+"), re.compile(r"[^\w,. ]+")
+
+
 def folded(name: str) -> str:
     """``name`` in lower case without accents, look-alikes and anything that is neither letter, digit, comma, point nor space."""
-    text = unicodedata.normalize("NFKD", plain(name).replace("ß", "ss").replace("ø", "o").replace("ł", "l").replace("ı", "i").replace("æ", "ae"))
-    text = "".join(c for c in text if not unicodedata.combining(c)).replace("&", " and ")
-    return re.sub(r"[^\w,. ]+", "", re.sub(r"[\s_-]+", " ", text)).strip()
+    text = name
+    if not name.isascii():
+        text = unicodedata.normalize("NFKD", plain(name).translate(_WHOLE))
+        text = "".join(c for c in text if not unicodedata.combining(c))
+    return _OTHER.sub("", _GAPS.sub(" ", text.replace("&", " and "))).strip()
 
 
 def _initials(token: str, cased: str, others: int) -> str:
@@ -50,6 +58,7 @@ def _initials(token: str, cased: str, others: int) -> str:
     return ""
 
 
+@lru_cache(maxsize=100_000)
 def parse(name: str) -> tuple[bool, str, str, str, bool]:
     """(is an organisation, family or whole name, given, further initials, order is sure).
 
