@@ -287,9 +287,9 @@ def normalize_doi(spark, sf_dir):
     return d.select("ref_id", C.normalize_doi(F.concat(F.lit(" https://doi.org/"), F.replace("doi", F.lit("/"), F.lit("%2F")), F.lit(".pdf"))).alias("found"))
 
 
-@query("select cit_id, pinpoint_class as given, pinpoint_class as found from ai_intext_citations where coalesce(postnote, '') = ''")
+@query("select cit_id, pinpoint_class as given, pinpoint_class as found from ai_intext_citations")
 def classify_postnote(spark, sf_dir):
-    return table(spark, sf_dir, "ai_intext_citations").where("coalesce(postnote, '') = ''").select("cit_id", F.col("pinpoint_class").alias("given"), C.classify_postnote(F.col("postnote")).alias("found"))
+    return table(spark, sf_dir, "ai_intext_citations").select("cit_id", F.col("pinpoint_class").alias("given"), C.classify_postnote(F.col("postnote")).alias("found"))
 
 
 _CHECK = f"""with j as (select flag_id, {_WORDS.format('title_cited')} as a, {_WORDS.format('title_registered')} as b, first_author_cited, first_author_registered, status from doi_check_ai_flags_for_review)
