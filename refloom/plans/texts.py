@@ -14,40 +14,70 @@ def _key() -> Column:
     return F.concat(F.lit("r"), F.col("ref_id").cast("string"))
 
 
-def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References whose plain columns a TeX text can hold unchanged."""
-    plain = r"^[A-Za-z0-9 -]+$"
-    return table(spark, sf_dir, "ai_citations").where(F.col("title").rlike(plain) & ~F.col("title").rlike("--|^ | $|  ") & F.col("year").rlike(r"^\d{4}$") & F.col("volume").rlike(r"^\d+$"))
+def _field(head: str, name: str, tail: str) -> Column:
+    """The column between ``head`` and ``tail``; nothing where it is null."""
+    return F.coalesce(F.concat(F.lit(head), name, F.lit(tail)), F.lit(""))
 
 
-def _planted(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    """(path, content): one file per paper, its references written by ``template``."""
-    entry = F.format_string(template, _key(), F.col("title"), F.col("year"), F.col("volume"))
-    # each reference is a file of its own, so that a hot paper is no hot row
-    return _refs(spark, sf_dir).select(_key().alias("path"), entry.alias("content"))
+def _planted(spark: SparkSession, sf_dir: str, entry: Column, begin: str = "", end: str = "") -> DataFrame:
+    """(path, content): every reference as ``entry``, between ``begin`` and ``end`` of its file.
+
+    A file holds a paper's references of 64 consecutive numbers, so that a hot
+    paper is no hot row.
+    """
+    refs = table(spark, sf_dir, "ai_citations").select(F.coalesce("preprint_folder", F.lit("")).alias("folder"), (F.col("ref_id") / 64).cast("long").alias("part"), F.struct("ref_id", entry.alias("entry")).alias("e"))
+    files = refs.groupBy("folder", "part").agg(F.array_sort(F.collect_list("e"))["entry"].alias("entries"))
+    return files.select(F.concat_ws("/", "folder", "part").alias("path"), F.concat(F.lit(begin), F.array_join("entries", "\n"), F.lit(end)).alias("content"))
 
 
 def _recovered(parsed: DataFrame) -> DataFrame:
-    return parsed.select(F.col("cite_key").alias("k"), "title", "year", "volume")
+    return parsed.select(F.col("cite_key").alias("k"), "author", "title", "year", "volume")
 
 
-_TRUTH = "select concat('r', cast(ref_id as varchar)) as k, title, year, volume from ai_citations where regexp_full_match(title, '[A-Za-z0-9 -]+') and not regexp_matches(title, '--|^ | $|  ') and regexp_full_match(year, '\\d{4}') and regexp_full_match(volume, '\\d+')"
+def _people() -> Column:
+    """The authors as an array, parted at each ' and ' outside braces."""
+    return F.split("author", r" and (?![^{}]*\})")
 
 
 def parse_bib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recovered(parse_entries(_planted(spark, sf_dir, '@article{%s, title = {{%s}}, year = "%s", volume = %s}'), "bib"))
+    """Titles in double braces, years in quotes, volumes bare where they are numbers; null fields are left out."""
+    volume = F.when(F.col("volume").rlike(r"^\d+$"), _field(", volume = ", "volume", "")).otherwise(_field(", volume = {", "volume", "}"))
+    entry = F.concat(F.lit("@article{"), _key(), _field(", author = {", "author", "}"), _field(", title = {{", "title", "}}"), _field(', year = "', "year", '"'), volume, F.lit("}"))
+    return _recovered(parse_entries(_planted(spark, sf_dir, entry), "bib"))
 
 
 def parse_bibitems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recovered(parse_entries(_planted(spark, sf_dir, "\\begin{thebibliography}{9}\\bibitem{%s} A. Author, \\emph{%s}, Some Journal (%s), \\textbf{%s}.\\end{thebibliography}"), "bibitem"))
+    entry = F.concat(F.lit("\\bibitem{"), _key(), F.lit("} "), _field("", "author", ", "), _field("\\emph{", "title", "}, "), F.lit("Some Journal"), _field(" (", "year", ")"), _field(", \\textbf{", "volume", "}"), F.lit("."))
+    return _recovered(parse_entries(_planted(spark, sf_dir, entry, "\\begin{thebibliography}{9}", "\\end{thebibliography}"), "bibitem"))
 
 
 def parse_amsrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recovered(parse_entries(_planted(spark, sf_dir, "\\bib{%s}{article}{author={One, A.}, author={Two, B.}, title={%s}, date={%s-01-01}, volume={%s}}"), "amsrefs"))
+    authors = F.coalesce(F.array_join(F.transform(_people(), lambda a: F.concat(F.lit(", author={"), a, F.lit("}"))), ""), F.lit(""))
+    date = F.when(F.col("year").rlike(r"^\d{4}$"), _field(", date={", "year", "-01-01}")).otherwise(_field(", date={", "year", "}"))
+    entry = F.concat(F.lit("\\bib{"), _key(), F.lit("}{article}{"), authors, _field(", title={", "title", "}"), date, _field(", volume={", "volume", "}"), F.lit("}"))
+    return _recovered(parse_entries(_planted(spark, sf_dir, entry), "amsrefs"))
 
 
 def parse_biblatex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recovered(parse_entries(_planted(spark, sf_dir, "\\entry{%s}{article}{}\\field{title}{%s}\\field{date}{%s-02}\\field{volume}{%s}\\endentry"), "biblatex"))
+    family, given = (lambda a, i=i: F.regexp_extract(a, r"^([^,{}]*[^,{}\s]), ([^,{}\s][^,{}]*)$", i) for i in (1, 2))
+    person = lambda a: F.when(family(a) != "", F.concat(F.lit("{{hash=1}{family={"), family(a), F.lit("},given={"), given(a), F.lit("}}}"))).otherwise(F.concat(F.lit("{{hash=1}{family={"), a, F.lit("}}}")))
+    names = F.coalesce(F.concat(F.lit("\\name{author}{"), F.size(_people()).cast("string"), F.lit("}{}{"), F.array_join(F.transform(_people(), person), "%\n"), F.lit("}")), F.lit(""))
+    date = F.when(F.col("year").rlike(r"^\d{4}$"), _field("\\field{date}{", "year", "-02}")).otherwise(_field("\\field{date}{", "year", "}"))
+    entry = F.concat(F.lit("\\entry{"), _key(), F.lit("}{article}{}"), names, _field("\\field{title}{", "title", "}"), date, _field("\\field{volume}{", "volume", "}"), F.lit("\\endentry"))
+    return _recovered(parse_entries(_planted(spark, sf_dir, entry), "biblatex"))
+
+
+_CLEAN = r"trim(regexp_replace(regexp_replace(coalesce({}, ''), '[{{}}]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+def _truth(year: str = "year", author: str = "author") -> str:
+    """Every reference as the parsers give it: text without braces, white space as single spaces, nulls as ''."""
+    return f"select concat('r', cast(ref_id as varchar)) as k, {_CLEAN.format(author)} as author, {_CLEAN.format('title')} as title, {_CLEAN.format(year)} as year, {_CLEAN.format('volume')} as volume from ai_citations"
+
+
+# a free-text item shows authors only before a title, without closing punctuation, and years only as whole numbers; a date's year is its first four characters
+_ITEM = _truth(r"regexp_extract(coalesce(year, ''), '\b(1[89]\d\d|20\d\d)\b', 1)", r"case when title is not null then rtrim(trim(regexp_replace(author || ',', '\s+', ' ', 'g')), ',:.') end")
+_DATED = _truth("left(year, 4)")
 
 
 def cited_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +108,7 @@ QUERIES = {f.__name__: f for f in (parse_bib, parse_bibitems, parse_amsrefs, par
 
 _HK = "concat('h', cast(ref_id as varchar))"
 ORACLES = {
-    **dict.fromkeys(("parse_bib", "parse_bibitems", "parse_amsrefs", "parse_biblatex"), _TRUTH),
+    "parse_bib": _truth(), "parse_bibitems": _ITEM, "parse_amsrefs": _DATED, "parse_biblatex": _DATED,
     "reference_list": f"select preprint_folder as paper_id, {_HK} as cite_key, 'T ' || {_HK} as title, '2001' as year, 'yes' as cited_in_text, 'bibitem' as source_format from human_citations",
     "cite_tokenizer": f"select preprint_folder as paper_id, cast(row_number() over (partition by preprint_folder order by {_HK}) as int) as cite_index, {_HK} as key, 1 as group_size, 'Lemma 3' as postnote, 'result' as pinpoint_class, 'yes' as prose_pinpoint, 'intro' as section_kind, 'yes' as in_proof from human_citations",
 }

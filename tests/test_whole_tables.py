@@ -1,6 +1,6 @@
 """Queries read every row of their tables; the expected values are worked out by hand or in plain Python."""
 
-from refloom.plans import citations
+from refloom.plans import citations, texts
 
 
 def put(spark, path, name, rows, schema):
@@ -13,3 +13,29 @@ def test_every_note_is_classified(spark, tmp_path):
     sf = put(spark, tmp_path, "ai_intext_citations", [(i, n, f"given {i}") for i, n in enumerate(notes)], "cit_id long, postnote string, pinpoint_class string")
     got = {r.cit_id: (r.given, r.found) for r in citations.QUERIES["classify_postnote"](spark, sf).collect()}
     assert got == {i: (f"given {i}", c) for i, c in enumerate(notes.values())}
+
+
+# title, author, year, volume as planted; then author, title, year, volume as parsed from .bib; white space behind a symbol command goes, as in the reference
+HARD = [
+    ("{H}ow {{A}}: $L^2$ \"bounds\"\n of\tthis,", "Doe, John T. and {Working Group on X and Y at Z}", "2025a", "", "Doe, John T. and Working Group on X and Y at Z", "How A: $L^2$ \"bounds\" of this,", "2025a", ""),
+    ("Sur l\\'{e}tat de \\v{S}a et \\emph{G\\\"odel} \\& {\\L}", "Erd\\H{o}s, P.; {\\\"O}z, Q", "n.d.", "12", "Erdős, P.; Öz, Q", "Sur létat de Ša et Gödel &Ł", "n.d.", "12"),
+    ("``Été'' – “ï”", "A. One | \"B. Two\" et al.", None, "7", "A. One | \"B. Two\" et al.", "``Été'' – “ï”", "", "7"),
+    (None, "C. Three", "in press", "", "C. Three", "", "in press", ""),
+    ("plain", None, "1999", None, "", "plain", "1999", ""),
+    (" { \"ends in a dot.\"\n} ", "Four, D.,", "", "3", "Four, D.,", "\"ends in a dot.\"", "", "3"),
+]
+
+
+def test_every_reference_is_planted_and_parsed(spark, tmp_path):
+    schema = "ref_id long, preprint_folder string, title string, author string, year string, volume string"
+    sf = put(spark, tmp_path, "ai_citations", [(i, "p", *row[:4]) for i, row in enumerate(HARD)] + [(64, "p", "next", "E", "2000", "1"), (65, None, "none", "F", "2001", "2")], schema)
+    rest = {"r64": ("E", "next", "2000", "1"), "r65": ("F", "none", "2001", "2")}
+    bib = {f"r{i}": row[4:] for i, row in enumerate(HARD)} | rest
+    dated = {k: (a, t, y[:4], v) for k, (a, t, y, v) in bib.items()}
+    # free text: no authors without a title, no closing punctuation of authors, whole years only
+    items = {k: ("" if not t else a.rstrip(",.:"), t, y if y.isdigit() else "", v) for k, (a, t, y, v) in bib.items()}
+    for name, want in {"parse_bib": bib, "parse_bibitems": items, "parse_amsrefs": dated, "parse_biblatex": dated}.items():
+        rows = texts.QUERIES[name](spark, sf).collect()
+        assert {r.k: (r.author, r.title, r.year, r.volume) for r in rows} == want, name
+        assert len(rows) == len(want)
+    assert texts._planted(spark, sf, texts._key()).count() == 3  # files of several entries
