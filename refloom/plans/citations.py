@@ -149,7 +149,7 @@ def pinpoint_paper_hist(spark, sf_dir):
     return metrics.pinpoint_paper_histogram(_metrics(spark, sf_dir))
 
 
-_REPS = 50
+_REPS = 2000
 _POISSON = " + ".join(f"(u >= {x!r})::int" for x in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119))
 
 
@@ -164,8 +164,7 @@ def bootstrap_ci(spark, sf_dir):
 
 @query()
 def bootstrap_ci_exact(spark, sf_dir):
-    long = metrics.long_metrics(_metrics(spark, sf_dir)).where("metric = 'n_references'")
-    return bootstrap.interval_exact(long, reps=40)
+    return bootstrap.interval_exact(metrics.long_metrics(_metrics(spark, sf_dir)), _REPS)
 
 
 _LABEL = """with t as (select ref_id as pos, preprint_folder as paper_id, coalesce(nullif(doi, ''), nullif(arxiv_id, '')) as item, journal_or_venue as category from ai_citations), cache as (select item, max(category) as category from t where item is not null group by all),

@@ -1,5 +1,12 @@
 """Queries read every row of their tables; the expected values are worked out by hand or in plain Python."""
 
+import hashlib
+import inspect
+import math
+import random
+import statistics
+
+from refloom.operators import bootstrap, metrics
 from refloom.plans import citations, texts
 
 
@@ -39,3 +46,35 @@ def test_every_reference_is_planted_and_parsed(spark, tmp_path):
         assert {r.k: (r.author, r.title, r.year, r.volume) for r in rows} == want, name
         assert len(rows) == len(want)
     assert texts._planted(spark, sf, texts._key()).count() == 3  # files of several entries
+
+
+def test_intervals_of_every_metric_from_2000_replicates(spark, monkeypatch):
+    rows = [(g, i, "", m, float(i * 7 % 11) / (3 if g == "ai" else 7)) for m, n in (("n_references", 5), ("mean_group_size", 8)) for g in ("ai", "human") for i in range(n + (g == "ai"))]
+    long = spark.createDataFrame(rows, "grp string, paper_id int, subject string, metric string, value double")
+    monkeypatch.setattr(citations, "_metrics", lambda spark, sf_dir: None)
+    monkeypatch.setattr(metrics, "long_metrics", lambda m: long)
+    want = {}
+    for m in ("n_references", "mean_group_size"):
+        a, b = ([v for g, _, _, k, v in rows if (g, k) == (side, m)] for side in ("ai", "human"))
+        draw = random.Random(bootstrap.SEED).randrange
+        diffs = sorted(statistics.fmean([a[draw(len(a))] for _ in a]) - statistics.fmean([b[draw(len(b))] for _ in b]) for _ in range(2000))
+        want[m] = (diffs[50], diffs[1949])
+    assert {r.metric: (r.low, r.high) for r in citations.QUERIES["bootstrap_ci_exact"](spark, "").collect()} == want
+
+    def poisson(text):
+        u, k, p, total = int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 2**32, 0, math.exp(-1), math.exp(-1)
+        while u >= total and k < 7:
+            k += 1
+            p /= k
+            total += p
+        return k
+
+    for m in want:
+        diffs = []
+        for rep in range(2000):
+            sides = [[(poisson(f"{bootstrap.SEED}:{m}:{i}:{rep}"), v) for g, i, _, k, v in rows if (g, k) == (side, m)] for side in ("ai", "human")]
+            if all(sum(w for w, _ in s) for s in sides):
+                diffs.append(sum(w * v for w, v in sides[0]) / sum(w for w, _ in sides[0]) - sum(w * v for w, v in sides[1]) / sum(w for w, _ in sides[1]))
+        want[m] = tuple(round(sorted(diffs)[i], 6) for i in (50, 1949))
+    assert {r.metric: (r.low, r.high) for r in citations.QUERIES["bootstrap_ci"](spark, "").collect()} == want
+    assert inspect.signature(bootstrap.interval).parameters["reps"].default == 2000
