@@ -204,12 +204,14 @@ def quota_select(spark, sf_dir):
     return sampling.select_quota(log, "stratum", "rank", "usable", "target").select("stratum", "rank", "id", "selected")
 
 
-@query(f"""with k as ({_RANK}), x as (select k.*, id % 5 = 0 and rank <= 40 as logged, case when id % 3 = 0 and rank <= 60 then id % 4 end as n_references from k),
+@query(f"""with k as ({_RANK}), z as (select *, count(*) over (partition by stratum) as size from k), x as (select *, id % 5 = 0 and 3 * rank <= 2 * size as logged, case when id % 3 = 0 and 10 * rank <= 9 * size then id % 4 end as n_references from z),
 l as (select *, max(rank) filter (where logged or n_references is not null) over (partition by stratum) as last from x)
 select stratum, rank, id, case when n_references is null then 'failed_unrecorded' when n_references > 0 then 'included' else 'no_bibliography' end as status, coalesce(n_references, 0) as n_references from l where rank <= last and not logged""")
 def log_gap_repair(spark, sf_dir):
+    """The log goes to two thirds of a stratum, the sources to nine tenths of it."""
     cand = _ranked(spark, sf_dir)
-    return sampling.repair_log(cand, cand.where("id % 5 = 0 and rank <= 40"), cand.where("id % 3 = 0 and rank <= 60").select("id", (F.col("id") % 4).alias("n_references")))
+    sized = cand.join(cand.groupBy("stratum").agg(F.count(F.lit(1)).alias("size")), "stratum")
+    return sampling.repair_log(cand, sized.where("id % 5 = 0 and 3 * rank <= 2 * size").drop("size"), sized.where("id % 3 = 0 and 10 * rank <= 9 * size").select("id", (F.col("id") % 4).alias("n_references")))
 
 
 @query("select event_id, user_id, event_type from events e where not exists (select 1 from events d where d.event_type = 'click' and d.user_id = e.user_id)")

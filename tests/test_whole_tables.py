@@ -78,3 +78,14 @@ def test_intervals_of_every_metric_from_2000_replicates(spark, monkeypatch):
         want[m] = tuple(round(sorted(diffs)[i], 6) for i in (50, 1949))
     assert {r.metric: (r.low, r.high) for r in citations.QUERIES["bootstrap_ci"](spark, "").collect()} == want
     assert inspect.signature(bootstrap.interval).parameters["reps"].default == 2000
+
+
+def test_log_repair_grows_with_the_stratum(spark, tmp_path):
+    sf = put(spark, tmp_path, "customer", [(i, "s") for i in range(600)], "c_custkey long, c_mktsegment string")
+    rank = {r.id: r.rank for r in citations.QUERIES["seeded_rank"](spark, sf).collect()}
+    logged = {i for i in rank if i % 5 == 0 and rank[i] <= 400}
+    sources = {i: i % 4 for i in rank if i % 3 == 0 and rank[i] <= 540}
+    last = max(rank[i] for i in logged | set(sources))
+    want = {i: ("failed_unrecorded" if i not in sources else "included" if sources[i] else "no_bibliography", sources.get(i, 0)) for i in rank if rank[i] <= last and i not in logged}
+    assert {r.id: (r.status, r.n_references) for r in citations.QUERIES["log_gap_repair"](spark, sf).collect()} == want
+    assert len(want) > 400
