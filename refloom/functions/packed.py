@@ -4,34 +4,39 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Sequence
+from functools import lru_cache
 
 from refloom.functions.lookalikes import FOLD
 
-# The delimiters that are tried, strongest first. The last two also cut at commas.
+# The delimiters that are tried, strongest first.
 DELIMITERS = {"name": ["semicolon", "bar", "newline", "slash", "and", "comma"], "code": ["semicolon", "bar", "newline", "slash", "comma", "space"]}
+_MARK = {"semicolon": r";", "bar": r"\|", "newline": r"[\r\n]", "slash": r"\s/\s", "and": r",?\s+(?:and|AND|And|und|et|y|&)\s+", "comma": r",", "space": r"\s+"}
+#: What a field must hold (in Java's syntax) to be more than one value.
+PACKED = {"name": r"(?U)[;|\r\n,]|[\s\x1c-\x1f]/[\s\x1c-\x1f]|[\s\x1c-\x1f](?:and|AND|And|und|et|y|&)[\s\x1c-\x1f]", "code": r"(?U)[;|,\s\x1c-\x1f]"}
 
-_CUT = {
-    "semicolon": re.compile(r";"), "bar": re.compile(r"\|"), "newline": re.compile(r"[\r\n]"), "slash": re.compile(r"\s/\s"),
-    "and": re.compile(r",?\s+(?:and|AND|And|und|et|y|&)\s+|,"), "comma": re.compile(r","), "space": re.compile(r"\s+"),
-}
-_SIGN = {**_CUT, "and": re.compile(r"\s(?:and|AND|And|und|et|y|&)\s")}
-_HIDDEN = re.compile(r'\{[^{}]*\}|"[^"]*"')
-_SHOWN = re.compile("[\U000F0000-\U000FFFFD]")
+_SIGN = {n: re.compile(m if n != "and" else r"\s(?:and|AND|And|und|et|y|&)\s") for n, m in _MARK.items()}
+_HOLE = "\U000f0000"  # stands for a quoted or braced part
+_HIDDEN = re.compile(r'\{[^{}]*\}|"[^"]*"|' + _HOLE)
 # A remark that further authors follow is not a value.
 _REMARK = re.compile(r"(?:[\s,;|/&]|\band\b)*(?:\bet\s+al\b|\band\s+others\b|\bothers\b|\bu\.\s?a\.)[\s;,.|/]*$", re.I)
 _HINT = re.compile(r"al\b|others|a\.\s*$", re.I)
 _INITIALS = re.compile(r"(?:[^\W\d_]\.?[\s-]?){1,4}$")
 _GIVEN = re.compile(r"\S+(?:\s[^\W\d_]\.?)*$")
 _WORD = r"(?:[^\W\d_a-z]['’\w]*\.?|[a-z]['’]?[^\W\d_a-z]\w+)(?:-\w+\.?)*"
-_PERSON = re.compile(rf"(?:{_WORD}(?:\s{_WORD}){{1,4}}|{_WORD}(?:\s{_WORD}){{0,2}},\s*{_WORD}(?:\s{_WORD}){{0,3}})$")
+# Small words that belong to a family name.
+_SMALL = r"(?:(?:van|von|de|der|den|del|della|di|da|du|dos|la|le|ten|ter|zu)\s)"
+_PERSON = re.compile(rf"(?:{_WORD}\s{_SMALL}{{0,2}}{_WORD}(?:\s{_WORD}){{0,3}}|{_SMALL}{{0,2}}{_WORD},\s*{_WORD}(?:\s{_WORD}){{0,3}})$")
 _BODY = re.compile(r".*\s(?:of|on|for|at|OF|ON|FOR|AT)\s", re.S)
+_AND = re.compile(r"\s(?:and|AND|And|und|et|y|&)\s")
 _CODE = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*$")
 _EDGE = ' \t\r\n;,|"{}'
-
+# Words for institutions, and for the parts of one that are named behind it.
+INSTITUTIONS = ["university", "université", "universität", "universidad", "università", "institute", "college", "academy", "observatory", "laboratory", "hospital"]
+UNITS = ["department", "dept", "faculty", "school", "division", "section", "institute", "laboratory", "group", "centre", "center", "chair", "branch"]
 
 # Anything but ASCII and accented Latin letters, which are already plain.
-_UNUSUAL = re.compile(r"[^\x00-\x7f\u00c0-\u0131\u0134-\u0148\u014a-\u017e]")
+_UNUSUAL = re.compile(r"[^\x00-\x7fÀ-ıĴ-ňŊ-ž]")
 
 
 def plain(text: str) -> str:
@@ -42,23 +47,31 @@ def plain(text: str) -> str:
     return text.translate(FOLD)
 
 
-def _masked(text: str) -> tuple[str, list[str]]:
-    """``text`` with each quoted or braced part as one character of a private plane, and those parts."""
-    if '"' not in text and "{" not in text:
-        return text, []
-    parts: list[str] = []
+def _one_edit(a: str, b: str) -> bool:
+    """Whether one letter added, left out, replaced or swapped with its neighbour makes ``a`` of ``b``."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    x, y = a[at:], b[at:]
+    return x[1:] == y or x == y[1:] or x[1:] == y[1:] or (x[2:] == y[2:] and x[:2] == y[1::-1])
 
-    def hide(m: re.Match) -> str:
-        if len(parts) > 0xFFFD:
-            return m.group(0)
-        parts.append(m.group(0))
-        return chr(0xF0000 + len(parts) - 1)
 
-    return _HIDDEN.sub(hide, text), parts
+@lru_cache(maxsize=100_000)
+def _means(word: str, institutions: bool) -> bool:
+    """Whether ``word`` is one of the words for institutions or units: as it is, shortened with a point, or misspelt by one edit."""
+    low = word.lower()
+    for known in INSTITUTIONS if institutions else UNITS:
+        if low == known or (low[-1:] == "." and len(low) > 4 and known.startswith(low[:-1])) or (low[-1:] == "." and low[:-1] == known) or (len(low) > 5 and _one_edit(low, known)):
+            return True
+    return False
 
 
-def _shown(text: str, parts: list[str]) -> str:
-    return _SHOWN.sub(lambda m: parts[ord(m.group(0)) - 0xF0000] if ord(m.group(0)) - 0xF0000 < len(parts) else m.group(0), text) if parts else text
+def _masked(text: str) -> tuple[str, list[str]]:
+    """``text`` with each quoted or braced part as one character, and those parts in order."""
+    if '"' not in text and "{" not in text and _HOLE not in text:
+        return text, []
+    parts = _HIDDEN.findall(text)
+    return _HIDDEN.sub(_HOLE, text), parts
 
 
 def _tidy(piece: str) -> str:
@@ -72,106 +85,139 @@ def _tidy(piece: str) -> str:
     return piece
 
 
-def _rejoin(pieces: list[str]) -> list[str]:
-    """Undo cuts at commas that belong to a value: ``Family, Given`` and ``X University, Department of Y``."""
+def _rejoined(pieces: list[str]) -> list[str]:
+    """Undo cuts at commas that belong to a value: ``Family, Given``, and an institution before its unit."""
     out, i = [], 0
     while i < len(pieces):
-        here = plain(pieces[i])
         if i + 1 < len(pieces):
             after = plain(pieces[i + 1])
-            a, b = here.strip(), after.strip()
-            if a and b and after[:1].isspace() and not _SHOWN.search(a + b):
-                family = " " not in a and (_INITIALS.match(b) or _GIVEN.match(b))
-                school = re.search(r"\bUniv|ersity$|Universit", a) and re.match(r"D\w{2,}\.?\s\w{2}\s", b)
-                if family or school:
-                    out.append(f"{pieces[i]},{pieces[i + 1]}")
-                    i += 2
-                    continue
+            if after[:1].isspace():
+                a, b = plain(pieces[i]).split(), after.split()
+                if a and b and _HOLE not in pieces[i] and _HOLE not in after:
+                    rest = " ".join(b)
+                    family = len(a) == 1 and (_INITIALS.match(rest) or _GIVEN.match(rest))
+                    if family or (len(b) > 2 and _means(a[-1], True) and _means(b[0], False)):
+                        out.append(f"{pieces[i]},{pieces[i + 1]}")
+                        i += 2
+                        continue
         out.append(pieces[i])
         i += 1
     return out
 
 
+@lru_cache(maxsize=200_000)
 def _typed(piece: str, kind: str) -> bool:
-    """Whether the piece alone has the form of a value."""
+    """Whether the piece alone has the form of a value: a code, a person, or a body such as ``Centre of X and Y``."""
     seen = " ".join(plain(piece).split())
     if kind == "code":
         return bool(_CODE.match(seen))
-    return bool(_PERSON.match(seen)) or bool(_BODY.match(seen + " ") and not re.search(r"\s(?:and|AND|&)\s\S+,\s", seen))
-
-
-def candidates(field: str, kind: str) -> list[tuple[str, list[str], float]]:
-    """Each delimiter that occurs in ``field``: its name, the pieces, and the share of pieces that look like a value.
-
-    Quoted and braced parts are never cut. Without any delimiter the list is empty.
-    A stronger delimiter all of whose pieces look like values ends the search:
-    any weaker cut would leave it inside a piece.
+    if _PERSON.match(seen):
+        return True
+    if not _BODY.match(seen + " "):
+        return False
+    head, comma, _ = seen.partition(",")
+    if comma and not _means(head.rpartition(" ")[2], True):
+        return False
+    last = _AND.split(seen)[-1]
+    return last == seen or not _PERSON.match(last)
+
+
+@lru_cache(maxsize=1000)
+def _cutter(combo: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(_MARK[n] for n in combo))
+
+
+class Field:
+    """One field made ready to be cut: its shape, the delimiters present, and its pieces under any of their combinations."""
+
+    def __init__(self, field: str, kind: str):
+        self.kind = kind
+        if kind == "code" and "'" in field and '"' not in field:
+            field = re.sub(r"'([^']*)'", r'"\1"', field)
+        text, parts = _masked(field)
+        if kind == "name" and _HINT.search(text):
+            text = _REMARK.sub("", text)
+        text = text.strip()
+        if kind == "code" and text[:1] == "[" and text[-1:] == "]":
+            text = text[1:-1]
+        self.text, self.parts = text, parts
+        self.quoted = {_tidy(p) for p in parts}
+        inner = text.strip(" ;|\n\r,")
+        self.present = tuple(n for n in DELIMITERS[kind] if _SIGN[n].search(inner)) if inner else ()
+
+    @property
+    def shape(self) -> str:
+        """The delimiters present, and whether the text before the first comma is one word, as where family names stand first."""
+        inverted = "comma" in self.present and self.kind == "name" and " " not in self.text.partition(",")[0].strip()
+        return "+".join(self.present) + ("/i" if inverted else "")
+
+    def combos(self) -> list[tuple[str, ...]]:
+        """The candidates: every delimiter alone, and the strongest two, three and so on together, as a field may mix them."""
+        return [(n,) for n in self.present] + [self.present[:k] for k in range(2, len(self.present) + 1)]
+
+    def cut(self, combo: Sequence[str]) -> tuple[list[str], float]:
+        """The pieces under ``combo``, and the share of them that look like a value. Quoted and braced parts are never cut."""
+        raw = _cutter(tuple(combo)).split(self.text)
+        if self.kind == "name" and "comma" in combo:
+            raw = _rejoined(raw)
+        # a piece in which another delimiter is left is not one value
+        left = [_SIGN[n] for n in self.present if n not in combo and n not in ("comma", "space", "and")] if self.kind == "name" else ()
+        lone = self.kind == "name" and "and" in self.present and "and" not in combo
+        hidden, out, good = iter(self.parts), [], 0
+        for p in raw:
+            shown = re.sub(_HOLE, lambda m: next(hidden), p) if self.parts and _HOLE in p else p
+            q = _tidy(shown)
+            if not q:
+                continue
+            out.append(q)
+            if q in self.quoted:
+                good += 1
+            elif not any(s.search(p.strip()) for s in left) and not (lone and _AND.search(p) and not _BODY.match(p + " ")):
+                good += _typed(q, self.kind)
+        return out, good / len(out) if out else 0.0
+
+    def single(self) -> list[str]:
+        """The value of a field without delimiters."""
+        hidden = iter(self.parts)
+        one = _tidy(re.sub(_HOLE, lambda m: next(hidden), self.text) if self.parts else self.text)
+        return [one] if one else []
+
+
+def name_of(combo: Sequence[str]) -> str:
+    return "+".join(combo)
+
+
+def decide(field: Field, order: Sequence[str] = ()) -> tuple[list[str], bool]:
+    """The pieces of a field, and whether its source's choice stood.
+
+    ``order`` names candidates by their source's score, the best first. The best
+    stands if all its pieces look like values. Otherwise the field's own
+    candidates are compared: the most regular one is taken, among equals the
+    source's order decides, then fewer and stronger delimiters.
     """
-    text, parts = _masked(field)
-    if kind == "name" and _HINT.search(text):
-        text = _REMARK.sub("", text)
-    text = text.strip()
-    if kind == "code" and text[:1] == "[" and text[-1:] == "]":
-        text = text[1:-1]
-    if kind == "code" and "'" in text:
-        text, more = re.sub(r"'([^']*)'", lambda m: f'"{m.group(1)}"', _shown(text, parts)), None
-        text, parts = _masked(text)
-    out = []
-    inner = text.strip(" ;|\n\r,")
-    present = [name for name in DELIMITERS[kind] if _SIGN[name].search(inner)]
-    for name in present:
-        cut = _CUT[name].split(text)
-        if kind == "name" and name in ("and", "comma"):
-            cut = _rejoin(cut)
-        if kind == "code":  # a field may mix delimiters; what is left in a piece is cut by the weaker ones
-            cut = [q for p in cut for q in re.split(r"[;|,\s]+|\s/\s|^/$", p)]
-        raw = [(p, q) for p in cut if (q := _tidy(_shown(p, parts))) and not (kind == "code" and q == "/")]
-        if raw:
-            quoted = {_tidy(p) for p in parts}
-            # a piece in which another delimiter is left is not one value
-            left = [_SIGN[n] for n in present if n not in (name, "comma", "space")]
-            good = sum(not any(s.search(p.strip()) for s in left) and (q in quoted or _typed(q, kind)) for p, q in raw)
-            out.append((name, [q for _, q in raw], good / len(raw)))
-            if good == len(raw) > 1:
-                break
-    return out
+    if not field.present:
+        return field.single(), True
+    combos = {name_of(c): c for c in field.combos()}
+    first = next((n for n in order if n in combos), None)
+    if first is not None:
+        pieces, regular = field.cut(combos[first])
+        if regular == 1 or len(combos) == 1:
+            return pieces, True
+    place = {n: i for i, n in enumerate(order)}
+    best, best_rank, best_name = [], None, None
+    for i, (n, combo) in enumerate(combos.items()):
+        pieces, regular = field.cut(combo)
+        rank = (-round(regular, 2), place.get(n, len(place)), len(combo), i)
+        if best_rank is None or rank < best_rank:
+            best, best_rank, best_name = pieces, rank, n
+    return best, best_name == first
+
+
+def values(field: str | None, kind: str, order: Sequence[str] = ()) -> list[str]:
+    """The values of one field in order; a field without delimiter is one value."""
+    return [] if field is None else decide(Field(field, kind), order)[0]
 
 
 def first_value(field: str, kind: str = "name") -> str:
-    """The first of :func:`values` where its delimiter is clear, without cutting the rest of a long field."""
-    text, parts = _masked(field)
-    if kind == "name" and _HINT.search(text):
-        text = _REMARK.sub("", text)
-    inner = text.strip(" ;|\n\r,")
-    for name in DELIMITERS[kind]:
-        if _SIGN[name].search(inner):
-            cut = _CUT[name].split(inner, maxsplit=2)
-            piece = (_rejoin(cut[:2]) if name in ("and", "comma") and kind == "name" else cut)[0]
-            return _tidy(_shown(piece, parts))
-    return _tidy(_shown(inner, parts))
-
-
-def choose(found: list[tuple[str, list[str], float]], prior: Callable[[], dict[str, float] | None] = lambda: None) -> list[str]:
-    """The pieces of the best candidate: by regularity within the field, then by its source's score, then by strength.
-
-    ``prior`` is asked only where several candidates are equally regular.
-    """
-    best = max(round(f[2], 1) for f in found)
-    tied = [f for f in found if round(f[2], 1) == best]
-    if len(tied) == 1:
-        return tied[0][1]
-    scores = prior() or {}
-    return max(enumerate(tied), key=lambda x: (scores.get(x[1][0], 0.0), -x[0]))[1][1]
-
-
-def values(field: str | None, kind: str, prior: Callable[[], dict[str, float] | None] = lambda: None) -> list[str]:
-    """The values of one field in order; a field without delimiter is one value."""
-    if field is None:
-        return []
-    if found := candidates(field, kind):
-        return choose(found, prior)
-    text = _REMARK.sub("", field) if kind == "name" else field.strip()
-    if kind == "code" and text[:1] == "[" and text[-1:] == "]":
-        text = text[1:-1]
-    one = _tidy(text)
-    return [one] if one else []
+    """The first of :func:`values`, or ''."""
+    return next(iter(values(field, kind)), "")

@@ -10,114 +10,141 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions.packed import candidates, choose, values
+from refloom.functions.packed import PACKED, Field, decide, name_of
 from refloom.session import skew_join, staged
 
-_READ = "what int, row_id long, pos long, val string, source string, n long, pieces double, squares double, regular double"
-_VALUE, _UNSURE, _SCORE = 0, 1, 2
+#: Fields of a source and shape count against its shape's fields in all sources as this many fields do.
+PRIOR = 4
 
+_SUMS = "source string, kind string, shape string, cand string, n long, pieces double, squares double, regular double"
+_VALUES = "tab string, row_id long, pos long, val string"
 
-def _rows(what: int, row_id: pa.Array, pos: list, val: list, source: list, sums: list[list] = ()) -> pa.RecordBatch:
-    n = len(val)
-    cols = [pa.array([r[k] for r in sums], t) if sums else pa.nulls(n, t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
-    return pa.RecordBatch.from_arrays([pa.array([what] * n, pa.int32()), row_id, pa.array(pos, pa.int64()), pa.array(val, pa.string()), pa.array(source, pa.string()), *cols], [c.split()[0] for c in _READ.split(", ")])
 
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (source, kind, field): for each source, shape and candidate the sums that its score is made of.
 
-def _read(kind: str, least: int):
-    """Arrow batches of (row_id, field, source): the values of fields whose delimiter is clear, the other fields whole, and sums for the scores."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0.0, 0.0, 0.0])
-            known: dict[str, list] = {}
-            pos, val, at, unsure, unsure_at, unsure_source = [], [], [], [], [], []
-            for i, (field, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                found = known.get(field)
-                if found is None:
-                    found = known[field] = candidates(field, kind)
-                for cand, pieces, regular in found:
-                    s, n = sums[source, cand], len(pieces)
-                    s[0] += 1
-                    s[1] += n
-                    s[2] += n * n
-                    s[3] += regular
-                if len(found) > 1 and found[-1][2] < 1:
-                    unsure_at.append(i)
-                    unsure.append(field)
-                    unsure_source.append(source)
-                    continue
-                got = found[-1][1] if found else values(field, kind) if least < 2 else []
-                if len(got) >= least:
-                    at += [i] * len(got)
-                    pos += range(1, len(got) + 1)
-                    val += got
-            ids = batch.column(0)
-            yield _rows(_VALUE, ids.take(pa.array(at, pa.int64())), pos, val, [None] * len(val))
-            yield _rows(_UNSURE, ids.take(pa.array(unsure_at, pa.int64())), [None] * len(unsure), unsure, unsure_source)
-            yield _rows(_SCORE, pa.nulls(len(sums), pa.int64()), [None] * len(sums), [k[1] for k in sums], [k[0] for k in sums], list(sums.values()))
-
-    return run
-
-
-def _settle(kind: str, least: int):
-    """Arrow batches of (row_id, field, prior): the values of fields that their source's scores decide."""
+    The candidate '' counts the fields of the source.
+    """
+    kinds = [pa.string()] * 4 + [pa.int64()] + [pa.float64()] * 3
+    names = [c.split()[0] for c in _SUMS.split(", ")]
+    known: dict[tuple, tuple] = {}
+    for batch in batches:
+        sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0.0, 0.0, 0.0])
+        if len(known) > 100_000:
+            known = {}
+        for source, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
+            seen = known.get((kind, text))
+            if seen is None:
+                field = Field(text, kind)
+                cuts = ((name_of(c), field.cut(c)) for c in field.combos())
+                seen = known[kind, text] = (field.shape, [(n, len(pieces), regular) for n, (pieces, regular) in cuts])
+            shape, cands = seen
+            sums[source, kind, "", ""][0] += 1
+            for cand, n, regular in cands:
+                s = sums[source, kind, shape, cand]
+                s[0] += 1
+                s[1] += n
+                s[2] += n * n
+                s[3] += regular
+        rows = [(*k, *v) for k, v in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+
+def _split(least: int):
+    """Batches of (tab, row_id, kind, field, orders): the values of each field that has ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos, val, at, priors = [], [], [], batch.column(2)
-            for i, field in enumerate(batch.column(1).to_pylist()):
-                got = choose(candidates(field, kind), lambda i=i: dict(priors[i].as_py() or ()))
+            pos, val, at, orders = [], [], [], batch.column(4)
+            seen: dict[str, dict[str, list[str]]] = {}  # each distinct text of orders is read once
+            for i, (kind, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                field = Field(text, kind)
+                order: list[str] = []
+                if field.present:
+                    packed = orders[i].as_py() or ""
+                    if packed not in seen:
+                        seen[packed] = {s: c.split(",") for s, _, c in (x.partition("=") for x in packed.split(" ") if x)}
+                    order = seen[packed].get(field.shape, order)
+                got = decide(field, order)[0]
                 if len(got) >= least:
                     at += [i] * len(got)
                     pos += range(1, len(got) + 1)
                     val += got
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int64()), pa.array(val, pa.string())], ["row_id", "pos", "val"])
+            ids = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), pa.array(pos, pa.int64()), pa.array(val, pa.string())], ["tab", "row_id", "pos", "val"])
 
     return run
 
 
-def delimiter_scores(read: DataFrame) -> DataFrame:
-    """(source, cand, n, score): how well each delimiter explains the fields of its source.
+def delimiter_scores(fields: DataFrame) -> DataFrame:
+    """(source, kind, shape, cand, n, score) of ``fields`` (source, kind, field): how well each candidate explains the fields of a source and shape.
 
-    Over the fields where the delimiter is a candidate, the score is the mean
-    share of pieces that look like a value, times the consistency of the piece
-    count (1 / (1 + coefficient of variation)), damped where such fields are few.
-    The sums are formed within each batch before they are shuffled.
+    A candidate is a delimiter or several together, a shape the set of
+    delimiters that occur in a field and whether family names stand first. The
+    score is the mean share of pieces that look like a value, times a factor
+    for the consistency of the piece count (from 3/4 to 1, by its coefficient of
+    variation). Both are those of the source's fields and, as far as these are
+    few, of all fields of the shape. The sums are formed within each batch before
+    they are shuffled; there are as many shapes as sets of delimiters.
     """
-    part = read.where(F.col("what") == _SCORE).groupBy("source", F.col("val").alias("cand")).agg(*(F.sum(c).alias(c) for c in ("n", "pieces", "squares", "regular")))
-    mean = F.col("pieces") / F.col("n")
-    spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))) / mean
-    return part.select("source", "cand", "n", (F.col("regular") / F.col("n") / (1 + spread) * F.col("n") / (F.col("n") + 3)).alias("score"))
+    sums = fields.select("source", "kind", "field").mapInArrow(_score, _SUMS)
+    parts = ["n", "pieces", "squares", "regular"]
+    own = sums.groupBy("source", "kind", "shape", "cand").agg(*(F.sum(c).alias(c) for c in parts))
+    everywhere = own.groupBy("kind", "shape", "cand").agg(*(F.sum(c).alias(f"all_{c}") for c in parts))
+    # at most two shapes for each set of six delimiters, with eleven candidates each, and two kinds
+    both = own.join(F.broadcast(everywhere), ["kind", "shape", "cand"])
+    total = lambda c: F.col(c) + PRIOR * F.col(f"all_{c}") / F.col("all_n")
+    n = F.col("n") + PRIOR
+    mean = total("pieces") / n
+    spread = F.sqrt(F.greatest(total("squares") / n - mean * mean, F.lit(0.0))) / F.greatest(mean, F.lit(1e-9))
+    score = F.when(F.col("cand") != "", F.round(total("regular") / n * (0.75 + 0.25 / (1 + spread)), 9))
+    return both.select("source", "kind", "shape", "cand", "n", score.alias("score"))
+
+
+def source_orders(scores: DataFrame) -> DataFrame:
+    """(source, kind, orders, size): for each shape of the source its candidates, the best first, as text, and the source's number of fields."""
+    width = F.size(F.split("cand", r"\+"))
+    ranked = F.transform(F.array_sort(F.collect_list(F.when(F.col("cand") != "", F.struct(-F.col("score"), width, "cand")))), lambda x: x["cand"])
+    shapes = scores.groupBy("source", "kind", "shape").agg(F.array_join(ranked, ",").alias("order"), F.max("n").alias("n"))
+    one = F.when(F.col("shape") != "", F.concat_ws("=", "shape", "order"))
+    return shapes.groupBy("source", "kind").agg(F.array_join(F.array_sort(F.collect_list(one)), " ").alias("orders"), F.max(F.when(F.col("shape") == "", F.col("n"))).alias("size"))
+
+
+def split_fields(rows: DataFrame, least: int) -> DataFrame:
+    """(tab, row_id, pos, val) of ``rows`` (tab, row_id, source, kind, field), for fields that hold ``least`` or more values; see :func:`split_packed`."""
+    holds = F.when(F.col("kind") == "name", F.col("field").rlike(PACKED["name"])).otherwise(F.col("field").rlike(PACKED["code"]))
+    packed = rows.where(F.col("field").isNotNull() & holds).select("tab", "row_id", "kind", "field", F.concat_ws("\u0001", "tab", "source").alias("source"))
+    orders = staged(source_orders(delimiter_scores(packed)), "orders")
+    total = orders.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    joined = skew_join(packed, orders.drop("kind"), ["source"], "size", total, "left")
+    out = joined.select("tab", "row_id", "kind", "field", "orders").mapInArrow(_split(least), _VALUES)
+    if least > 1:
+        return out
+    plain = rows.where(F.col("field").isNotNull() & ~holds).select("tab", "row_id", "kind", "field", F.lit("").alias("orders"))
+    return out.unionByName(plain.mapInArrow(_split(least), _VALUES))
+
+
+def _picked(df: DataFrame, tab: str, row_id: str, field: str, source: str, kind: str) -> DataFrame:
+    return df.select(F.lit(tab).alias("tab"), F.col(row_id).cast("long").alias("row_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.lit(kind).alias("kind"), F.col(field).alias("field"))
 
 
 def split_packed(df: DataFrame, row_id: str, field: str, source: str, kind: str = "name", single: bool = True) -> DataFrame:
     """(row_id bigint, pos bigint, val): every value of ``field``, position from 1.
 
     ``kind`` is ``name`` (people and organisations) or ``code`` (short codes).
-    The delimiter of a field is the candidate whose pieces look most like values.
-    A candidate all of whose pieces do is clear; the other fields go by the best
-    of them within the field, ties by the delimiter's score over all fields of
-    the source (:func:`delimiter_scores`). ``single=False`` leaves out fields with
-    one value. A null, blank or delimiter-only field has no value and no row; a
+    First the delimiters are inferred: for each source and shape of field the
+    candidate with the best score over its fields (:func:`delimiter_scores`).
+    Then every field is cut by its source's choice. A field in which that leaves
+    a piece that does not look like a value is compared under all candidates,
+    ties by the source's order. ``single=False`` leaves out fields with one
+    value. A null, blank or delimiter-only field has no value and no row; a
     null source is a source of its own; repeated rows are each split; other
     columns are ignored, whatever their names.
 
-    The fields are read once. Only what is unsure is joined with the scores,
-    hot sources by a bounded broadcast.
+    Fields without any delimiter are not scored and not shuffled. Hot sources get
+    their choice by a bounded broadcast.
     """
-    least = 1 if single else 2
-    rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(field).alias("field"), F.coalesce(F.col(source), F.lit("")).alias("source")).where(F.col("field").isNotNull())
-    read = staged(rows.mapInArrow(_read(kind, least), _READ), "read")
-    clear = read.where(F.col("what") == _VALUE).select("row_id", "pos", "val")
-    unsure = read.where(F.col("what") == _UNSURE).select("row_id", F.col("val").alias("field"), "source")
-    if unsure.isEmpty():
-        return clear
-    per_source = unsure.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
-    scores = delimiter_scores(read).join(per_source, "source")
-    lookup = staged(scores.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("cand", "score"))).alias("prior"), F.max("size").alias("size")), "delims")
-    total = lookup.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    joined = skew_join(unsure, lookup, ["source"], "size", total, "left")
-    return clear.unionByName(joined.select("row_id", "field", "prior").mapInArrow(_settle(kind, least), "row_id long, pos long, val string"))
+    return split_fields(_picked(df, "", row_id, field, source, kind), 1 if single else 2).select("row_id", "pos", "val")
 
 
 def split_multi(df: DataFrame, row_id: str, field: str, source: str, kind: str = "name") -> DataFrame:
@@ -130,6 +157,7 @@ PACKED_FIELDS = [("ai_citations", "author", "ref_id", "preprint_folder", "name")
 
 
 def packed_found(tables: dict[str, DataFrame]) -> DataFrame:
-    """(tab, fld, row_id, pos, val) for every packed field of ``tables`` that holds two or more values."""
-    parts = [split_multi(tables[tab], row_id, fld, source, kind).select(F.lit(tab).alias("tab"), F.lit(fld).alias("fld"), "row_id", "pos", "val") for tab, fld, row_id, source, kind in PACKED_FIELDS]
-    return reduce(DataFrame.unionByName, parts)
+    """(tab, fld, row_id, pos, val) for every packed field of ``tables`` that holds two or more values, all tables in one pass."""
+    rows = reduce(DataFrame.unionByName, [_picked(tables[tab], tab, row_id, fld, source, kind) for tab, fld, row_id, source, kind in PACKED_FIELDS])
+    fld = F.create_map(*[F.lit(x) for tab, fld, *_ in PACKED_FIELDS for x in (tab, fld)])
+    return split_fields(rows, 2).select("tab", fld[F.col("tab")].alias("fld"), "row_id", "pos", "val")

@@ -1,7 +1,9 @@
 import pytest
 
+from refloom import session
 from refloom.functions.packed import first_value, values
-from refloom.operators.packed_values import split_multi, split_packed
+from refloom.operators import packed_values
+from refloom.operators.packed_values import delimiter_scores, split_multi, split_packed
 
 NAMES = [
     ("A. One; B. Two", ["A. One", "B. Two"]), ("One, A., Two, B. C.", ["One, A.", "Two, B. C."]), ("One, Ann and Two, Bob", ["One, Ann", "Two, Bob"]), ("One, Ann", ["One, Ann"]), ("A. One, B. Two & C. Three", ["A. One", "B. Two", "C. Three"]),
@@ -37,8 +39,24 @@ def test_operator_handles_nulls_ties_repeats_and_clashing_columns(spark):
     assert split_multi(df.limit(0), "ref_id", "author", "preprint_folder").count() == 0
 
 
-def test_sources_decide_what_the_field_leaves_open(spark):
-    odd = "x one; y two and z three"  # neither cut gives values throughout
-    rows = [(i, "f", "A. One; B. Two") for i in range(20)] + [(99, "f", odd)]
-    got = split_multi(spark.createDataFrame(rows, "id long, s string, a string"), "id", "a", "s").where("row_id = 99").orderBy("pos").collect()
-    assert [r.val for r in got][0] == "x one"
+def test_sources_decide(spark):
+    odd = "x one; w two and z three"  # no cut gives values throughout
+    rows = [(i, "bodies", "Group of A and B; C. Dee") for i in range(20)] + [(i, "mixed", "A. One; B. Two and C. Three") for i in range(20)] + [(98, "bodies", odd), (99, "mixed", odd)]
+    got = split_multi(spark.createDataFrame(rows, "id long, s string, a string"), "id", "a", "s").where("row_id >= 98").orderBy("row_id", "pos").collect()
+    assert [r.val for r in got if r.row_id == 98] == ["x one", "w two and z three"]
+    assert [r.val for r in got if r.row_id == 99] == ["x one", "w two", "z three"]
+
+
+def test_scores_of_a_source_and_shape(spark):
+    rows = [("s", "code", "a.B;c.D e.F"), ("s", "code", "a.B;c.D"), ("s", "code", "a.B;c.D")]
+    scores = {(r.shape, r.cand): r.score for r in delimiter_scores(spark.createDataFrame(rows, "source string, kind string, field string")).where("cand <> ''").collect()}
+    assert scores["semicolon", "semicolon"] == 1
+    assert scores["semicolon+space", "semicolon+space"] == 1 > scores["semicolon+space", "semicolon"] > scores["semicolon+space", "space"]
+
+
+def test_many_quoted_parts_and_hot_sources(spark, monkeypatch):
+    many = "; ".join(f'"Part {i}, of; it"' for i in range(70_000))
+    assert values(many, "name") == [f"Part {i}, of; it" for i in range(70_000)]
+    monkeypatch.setattr(packed_values, "skew_join", lambda *a: session.skew_join(*a, least=2))
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"s{i}", f"A. One; B. Two{i}") for i in range(60)], "id long, s string, a string")
+    assert {(r.row_id, r.pos, r.val) for r in split_multi(df, "id", "a", "s").collect()} == {x for i in range(60) for x in ((i, 1, "A. One"), (i, 2, f"B. Two{i}"))}
