@@ -26,10 +26,10 @@ def printed(refs: DataFrame) -> DataFrame:
     return refs.where((F.col("corpus") != "ai") | (F.col("source_format") == "bibitem") | (F.col("cited_in_text") == "yes"))
 
 
-def commands(cites: DataFrame) -> DataFrame:
-    """In-text rows reduced to one per citation command; the rows of a command differ in their key only."""
+def commands(cites: DataFrame, order: str = "pos") -> DataFrame:
+    """In-text rows reduced to the first of each citation command by ``order``, which is unique within a command."""
     kept = ["pinpoint_class", "prose_pinpoint", "section_kind", "in_proof", "position", "group_size"]
-    return cites.groupBy("paper_id", "cite_index").agg(*(F.min(c).alias(c) for c in kept))
+    return cites.groupBy("paper_id", "cite_index").agg(F.min_by(F.struct(*kept), order).alias("first")).select("paper_id", "cite_index", "first.*")
 
 
 def _part(condition: Column) -> Column:
@@ -37,14 +37,22 @@ def _part(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("int"))
 
 
-def command_metrics(cites: DataFrame) -> DataFrame:
-    """Per paper: commands, their pinpoints, places and sizes."""
+def command_metrics(cites: DataFrame, order: str = "pos") -> DataFrame:
+    """Per paper: commands, their pinpoints, places and sizes, each command by its first row (see :func:`commands`).
+
+    What is asked of a row is one number of bits, so that the first rows are
+    found by a hash aggregate over numbers, without sorting.
+    """
     specific, kind = F.col("pinpoint_class").isin(*SPECIFIC), F.col("section_kind")
-    return commands(cites).groupBy("paper_id").agg(
-        F.count(F.lit(1)).alias("n_cite_commands"), _part(specific).alias("share_pinpoint_specific"), _part(F.col("pinpoint_class") == "result").alias("share_pinpoint_result"),
-        _part(specific | (F.col("prose_pinpoint") == "yes")).alias("share_pinpoint_any"), _part(F.col("in_proof") == "yes").alias("share_in_proof"), _part(kind.isin("abstract", "front", "intro")).alias("share_intro_or_front"),
-        _part(F.col("position") < 0.25).alias("share_first_quarter"), F.avg("group_size").alias("mean_group_size"), _part(F.col("group_size") >= 3).alias("share_group_3plus"), *(_part(kind == k).alias(f"share_section_{k}") for k in SECTION_KINDS),
-    )
+    asked = {
+        "share_pinpoint_specific": specific, "share_pinpoint_result": F.col("pinpoint_class") == "result", "share_pinpoint_any": specific | (F.col("prose_pinpoint") == "yes"), "share_in_proof": F.col("in_proof") == "yes",
+        "share_intro_or_front": kind.isin("abstract", "front", "intro"), "share_first_quarter": F.col("position") < 0.25, "share_group_3plus": F.col("group_size") >= 3, **{f"share_section_{k}": kind == k for k in SECTION_KINDS},
+    }
+    bits = sum((F.when(c, F.lit(1 << i)).otherwise(0).cast("long") for i, c in enumerate(asked.values())), F.lit(0).cast("long"))
+    rows = cites.select("paper_id", "cite_index", F.col(order).cast("long").alias("pos"), bits.alias("bits"), F.col("group_size").cast("long").alias("size"))
+    first = rows.groupBy("paper_id", "cite_index").agg(F.min_by("bits", "pos").alias("bits"), F.min_by("size", "pos").alias("size"))
+    shares = (F.avg(F.getbit("bits", F.lit(i)).cast("int")).alias(n) for i, n in enumerate(asked))
+    return first.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_cite_commands"), F.avg("size").alias("mean_group_size"), *shares)
 
 
 def ages(papers: DataFrame, refs: DataFrame) -> DataFrame:
@@ -54,38 +62,67 @@ def ages(papers: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def reference_metrics(papers: DataFrame, refs: DataFrame) -> DataFrame:
-    """Per paper: printed references, their ages and identifiers. Shares of aged references are null where there are none."""
-    listed = printed(refs).join(papers.select("paper_id", "citing_year"), "paper_id")
+    """Per paper: printed references, their ages and identifiers. Shares of aged references are null where there are none.
+
+    References are counted by paper and age first; ages are a few hundred at
+    most, so the median comes from running counts of a short list, and a paper
+    with very many references is no large group.
+    """
     y = year_of(F.col("year"))
-    age = F.when(y <= F.col("citing_year") + 1, F.col("citing_year") - y)
-    filled = lambda c: F.avg(F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0))
-    out = listed.withColumn("age", age).groupBy("paper_id").agg(
-        F.count(F.lit(1)).alias("n_references"), F.count("age").alias("n_aged"), F.median("age").alias("median_reference_age"), F.avg((F.col("age") <= 3).cast("int")).alias("share_refs_recent_3y"), F.avg((F.col("age") >= 30).cast("int")).alias("share_refs_classic_30y"),
-        filled("arxiv_id").alias("share_refs_arxiv"), filled("doi").alias("share_refs_doi"),
+    filled = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "").alias(f"n_{c}")
+    listed = printed(refs).join(papers.select("paper_id", "citing_year"), "paper_id").withColumn("age", F.when(y <= F.col("citing_year") + 1, F.col("citing_year") - y))
+    counted = listed.groupBy("paper_id", "age").agg(F.count(F.lit(1)).alias("n"), filled("arxiv_id"), filled("doi"))
+    w = W.partitionBy("paper_id").orderBy("age")
+    aged = F.when(F.col("age").isNotNull(), F.col("n")).otherwise(0)
+    ranked = counted.withColumns({"upto": F.sum(aged).over(w), "n_aged": F.sum(aged).over(W.partitionBy("paper_id"))})
+    # the two middle places, counted from 1; they are one where the number is odd
+    middle = lambda place: F.max(F.when((F.col("upto") >= place) & (F.col("upto") - aged < place) & F.col("age").isNotNull(), F.col("age")))
+    part = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    out = ranked.groupBy("paper_id").agg(
+        F.sum("n").alias("n_references"), F.max("n_aged").alias("n_aged"), middle(F.floor((F.col("n_aged") + 1) / 2)).alias("low"), middle(F.floor(F.col("n_aged") / 2) + 1).alias("high"),
+        part(F.col("age") <= 3).alias("recent"), part(F.col("age") >= 30).alias("classic"), F.sum("n_arxiv_id").alias("n_arxiv"), F.sum("n_doi").alias("n_doi"),
+    )
+    return out.select(
+        "paper_id", "n_references", ((F.col("low") + F.col("high")) / 2).alias("median_reference_age"), share(F.col("recent"), F.col("n_aged")).alias("share_refs_recent_3y"), share(F.col("classic"), F.col("n_aged")).alias("share_refs_classic_30y"),
+        share(F.col("n_arxiv"), F.col("n_references")).alias("share_refs_arxiv"), share(F.col("n_doi"), F.col("n_references")).alias("share_refs_doi"), F.when(F.col("n_aged") > 0, F.col("n_aged") / F.col("n_references")).alias("share_refs_with_year"),
     )
-    return out.withColumn("share_refs_with_year", F.when(F.col("n_aged") > 0, F.col("n_aged") / F.col("n_references"))).drop("n_aged")
 
 
 def use_metrics(refs: DataFrame, cites: DataFrame) -> DataFrame:
-    """Per paper: how its printed references are used; keys without a reference are left out."""
+    """Per paper with in-text rows: their number, and how its printed references are used; shares are null where no key has a reference."""
     uses = cites.groupBy("paper_id", "cite_key").agg(F.count(F.lit(1)).alias("uses"))
-    used = printed(refs).where(F.coalesce("cite_key", F.lit("")) != "").select("paper_id", "cite_key").join(uses, ["paper_id", "cite_key"])
-    return used.groupBy("paper_id").agg(F.avg((F.col("uses") == 1).cast("int")).alias("share_refs_cited_once"), (F.max("uses") / F.sum("uses")).alias("max_share_one_reference"))
+    listed = printed(refs).where(F.coalesce("cite_key", F.lit("")) != "").groupBy("paper_id", "cite_key").agg(F.count(F.lit(1)).alias("refs"))
+    used = F.when(F.col("refs").isNotNull(), F.col("uses"))
+    n = F.sum(F.when(used.isNotNull(), F.col("refs")))
+    out = uses.join(listed, ["paper_id", "cite_key"], "left").groupBy("paper_id").agg(F.sum("uses").alias("n_cites"), n.alias("n"), F.sum(F.when(used == 1, F.col("refs")).otherwise(0)).alias("once"), F.max(used).alias("most"), F.sum(used * F.col("refs")).alias("all"))
+    return out.select("paper_id", "n_cites", share(F.col("once"), F.col("n")).alias("share_refs_cited_once"), share(F.col("most"), F.col("all")).alias("max_share_one_reference"))
 
 
-def paper_metrics(papers: DataFrame, refs: DataFrame, cites: DataFrame) -> DataFrame:
-    """One row per paper (corpus, paper_id, subject, citing_year) with all metrics.
+_FROM_USES = {"citations_per_reference", "share_refs_cited_once", "max_share_one_reference"}
+_FROM_REFS = {"n_references", "citations_per_reference", "median_reference_age", "share_refs_recent_3y", "share_refs_classic_30y", "share_refs_arxiv", "share_refs_doi", "share_refs_with_year"}
+#: All metrics of a paper, in order.
+ALL_METRICS = [k for k, *_ in METRICS] + [f"share_section_{k}" for k in SECTION_KINDS] + ["share_refs_with_year", "share_refs_arxiv", "share_refs_doi"]
+
+
+def paper_metrics(papers: DataFrame, refs: DataFrame, cites: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """One row per paper (corpus, paper_id, subject, citing_year) with all metrics, or those in ``names``.
 
     Every part is aggregated to the paper before the parts are joined, so no
-    join fans out. A paper without references or citations stays, with 0
-    references and commands and null shares. Papers must be unique.
+    join fans out; parts of which no metric is asked for are not computed. A
+    paper without references or citations stays, with 0 references and commands
+    and null shares. Papers must be unique; ``cites`` has pos, the order of its rows.
     """
-    rows = cites.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_cites"))
-    out = papers.join(reference_metrics(papers, refs), "paper_id", "left").join(command_metrics(cites), "paper_id", "left").join(rows, "paper_id", "left").join(use_metrics(refs, cites), "paper_id", "left")
+    names = names or ALL_METRICS
+    out = papers
+    if _FROM_REFS & set(names):
+        out = out.join(reference_metrics(papers, refs), "paper_id", "left")
+    if set(names) - _FROM_REFS - _FROM_USES:
+        out = out.join(command_metrics(cites), "paper_id", "left")
+    if _FROM_USES & set(names):
+        out = out.join(use_metrics(refs, cites), "paper_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    names = [k for k, *_ in METRICS] + [f"share_section_{k}" for k in SECTION_KINDS] + ["share_refs_with_year", "share_refs_arxiv", "share_refs_doi"]
-    out = out.withColumns({"citations_per_reference": share(zero("n_cites").cast("double"), zero("n_references")), "n_references": zero("n_references"), "n_cite_commands": zero("n_cite_commands")})
-    return out.select("corpus", "paper_id", "subject", F.col("citing_year").alias("year"), *names)
+    made = {"n_references": zero, "n_cite_commands": zero, "citations_per_reference": lambda _: share(zero("n_cites").cast("double"), zero("n_references"))}
+    return out.select("corpus", "paper_id", "subject", F.col("citing_year").alias("year"), *(made.get(n, F.col)(n).alias(n) for n in names))
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -94,21 +131,43 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def groups(metrics: DataFrame) -> DataFrame:
-    """The rows of each group that is summarised: ai_all, ai (with a subject) and human."""
-    ai = metrics.where("corpus = 'ai'")
-    return ai.withColumn("grp", F.lit("ai_all")).unionByName(ai.where(F.coalesce("subject", F.lit("")) != "").withColumn("grp", F.lit("ai"))).unionByName(metrics.where("corpus = 'human'").withColumn("grp", F.lit("human")))
+    """The rows of each group that is summarised: ai_all, ai (with a subject) and human. A row is read once and repeated for its groups."""
+    with_subject = F.coalesce("subject", F.lit("")) != ""
+    mine = F.when(F.col("corpus") == "human", F.array(F.lit("human"))).when(F.col("corpus") == "ai", F.when(with_subject, F.array(F.lit("ai_all"), F.lit("ai"))).otherwise(F.array(F.lit("ai_all"))))
+    return metrics.withColumn("grp", F.explode(mine))
 
 
 def long_metrics(metrics: DataFrame) -> DataFrame:
-    """(grp, paper_id, subject, metric, value) without nulls."""
-    names = [k for k, *_ in METRICS]
+    """(grp, paper_id, subject, metric, value) without nulls, for the metrics that are columns."""
+    names = [k for k, *_ in METRICS if k in metrics.columns]
     grouped = groups(metrics).select("grp", "paper_id", "subject", *(F.col(k).cast("double").alias(k) for k in names))
     return grouped.unpivot(["grp", "paper_id", "subject"], names, "metric", "value").where("value is not null")
 
 
+def exact_medians(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, median) of ``counted`` (*keys, value, n): each value with how often it occurs.
+
+    Only the thousandths of the value range in which the middle places lie are
+    ranked: their totals come first, so a group of any size is never sorted in
+    one task.
+    """
+    bucket = F.floor(F.col("value") * 1000)
+    totals = counted.groupBy(*keys, bucket.alias("bucket")).agg(F.sum("n").alias("m"))
+    w = W.partitionBy(*keys)
+    places = totals.withColumns({"upto": F.sum("m").over(w.orderBy("bucket")), "total": F.sum("m").over(w)})
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    middle = places.where(((F.col("upto") >= low) & (F.col("upto") - F.col("m") < low)) | ((F.col("upto") >= high) & (F.col("upto") - F.col("m") < high))).select(*keys, "bucket", (F.col("upto") - F.col("m")).alias("before"), low.alias("low"), high.alias("high"))
+    near = counted.withColumn("bucket", bucket).join(middle, [*keys, "bucket"])
+    near = near.withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy(*keys, "bucket").orderBy("value")))
+    at = lambda place: F.max(F.when((F.col("upto") >= F.col(place)) & (F.col("upto") - F.col("n") < F.col(place)), F.col("value")))
+    return near.groupBy(*keys).agg(((at("low") + at("high")) / 2).alias("median"))
+
+
 def corpus_summary(metrics: DataFrame) -> DataFrame:
     """(metric, grp, n, mean, median)."""
-    return long_metrics(metrics).groupBy("metric", "grp").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"))
+    counted = long_metrics(metrics).groupBy("metric", "grp", "value").agg(F.count(F.lit(1)).alias("n"))
+    means = counted.groupBy("metric", "grp").agg(F.sum("n").alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    return means.join(exact_medians(counted, ["metric", "grp"]), ["metric", "grp"])
 
 
 def difference_of_means(metrics: DataFrame) -> DataFrame:

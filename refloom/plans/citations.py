@@ -38,8 +38,8 @@ def _round(names: list[str]) -> str:
     return ", ".join(n if n.startswith("n_") else f"round({n}, 6) as {n}" for n in names)
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.paper_metrics(*planted(spark, sf_dir))
+def _metrics(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
+    return metrics.paper_metrics(*planted(spark, sf_dir), names)
 
 
 @query(f"{CTES} select corpus, paper_id, subject, year, {_round(_ALL)} from m")
@@ -73,13 +73,13 @@ for _name, _cols in {"pinpoint_shares": ["share_pinpoint_specific", "share_pinpo
 
 @query(f"{CTES} select paper_id, round(citations_per_reference, 6) as citations_per_reference from m")
 def citations_per_reference(spark, sf_dir):
-    return metrics.rounded(_metrics(spark, sf_dir).select("paper_id", "citations_per_reference"))
+    return metrics.rounded(_metrics(spark, sf_dir, ["citations_per_reference"]).select("paper_id", "citations_per_reference"))
 
 
 @query(f"{CTES} select paper_id, {_round(['share_refs_cited_once', 'max_share_one_reference'])} from mu")
 def ref_use_concentration(spark, sf_dir):
     _, refs, cites = planted(spark, sf_dir)
-    return metrics.rounded(metrics.use_metrics(refs, cites))
+    return metrics.rounded(metrics.use_metrics(refs, cites).where("max_share_one_reference is not null").drop("n_cites"))
 
 
 _AGE = ["median_reference_age", "share_refs_recent_3y", "share_refs_classic_30y", "share_refs_with_year", "share_refs_arxiv", "share_refs_doi"]
@@ -97,17 +97,17 @@ long as ({" union all ".join(f"select grp, paper_id, '{k}' as metric, cast({k} a
 
 @query(f"{CTES} {_LONG} select metric, grp, count(*) as n, round(avg(value), 6) as mean, round(median(value), 6) as median from long group by all")
 def corpus_summary(spark, sf_dir):
-    return metrics.rounded(metrics.corpus_summary(_metrics(spark, sf_dir)))
+    return metrics.rounded(metrics.corpus_summary(_metrics(spark, sf_dir, _M)))
 
 
 @query(f"{CTES} {_LONG} select metric, round(avg(value) filter (where grp = 'ai') - avg(value) filter (where grp = 'human'), 6) as diff_mean from long group by all")
 def diff_of_means(spark, sf_dir):
-    return metrics.rounded(metrics.difference_of_means(_metrics(spark, sf_dir)))
+    return metrics.rounded(metrics.difference_of_means(_metrics(spark, sf_dir, _M)))
 
 
 @query(CTES + " select subject, count(*) filter (where corpus = 'ai') as n_ai, count(*) filter (where corpus = 'human') as n_human, " + ", ".join(f"round(avg({k}) filter (where corpus = '{c}'), 6) as {k}_{c}" for k in metrics.BY_SUBJECT for c in ("ai", "human")) + " from m where corpus = 'human' or subject <> '' group by subject having n_ai > 0")
 def by_subject(spark, sf_dir):
-    return metrics.rounded(metrics.by_subject(_metrics(spark, sf_dir)))
+    return metrics.rounded(metrics.by_subject(_metrics(spark, sf_dir, metrics.BY_SUBJECT)))
 
 
 _HIST = f"{CTES}, h as (select r.corpus, least(age, 100) as age, count(*) as n from r join p using (paper_id) where age >= 0 and (r.corpus = 'human' or subject <> '') group by all)"
@@ -146,7 +146,7 @@ def position_histogram(spark, sf_dir):
 
 @query(f"{CTES} select corpus, cast(case when share_pinpoint_specific = 0 then 0 else least(5, 1 + floor(share_pinpoint_specific * 5 - 1e-9)) end as int) as bin, count(*) as n from m where (corpus = 'human' or subject <> '') and share_pinpoint_specific is not null group by all")
 def pinpoint_paper_hist(spark, sf_dir):
-    return metrics.pinpoint_paper_histogram(_metrics(spark, sf_dir))
+    return metrics.pinpoint_paper_histogram(_metrics(spark, sf_dir, ["share_pinpoint_specific"]))
 
 
 _REPS = 2000
@@ -159,12 +159,12 @@ s as (select metric, rep, sum(weight * value) filter (where grp = 'ai') / sum(we
 o as (select *, row_number() over (partition by metric order by diff) - 1 as place from s)
 select metric, round(max(diff) filter (where place = {int(0.025 * _REPS)}), 6) as low, round(max(diff) filter (where place = {int(0.975 * _REPS) - 1}), 6) as high from o group by all""")
 def bootstrap_ci(spark, sf_dir):
-    return metrics.rounded(bootstrap.interval(metrics.long_metrics(_metrics(spark, sf_dir)), _REPS))
+    return metrics.rounded(bootstrap.interval(metrics.long_metrics(_metrics(spark, sf_dir, _M)), _REPS))
 
 
 @query()
 def bootstrap_ci_exact(spark, sf_dir):
-    return bootstrap.interval_exact(metrics.long_metrics(_metrics(spark, sf_dir)), _REPS)
+    return bootstrap.interval_exact(metrics.long_metrics(_metrics(spark, sf_dir, _M)), _REPS)
 
 
 _LABEL = """with t as (select ref_id as pos, preprint_folder as paper_id, coalesce(nullif(doi, ''), nullif(arxiv_id, '')) as item, journal_or_venue as category from ai_citations), cache as (select item, max(category) as category from t where item is not null group by all),
@@ -333,7 +333,7 @@ def internal_citation_summary(spark, sf_dir):
 
 
 _AI = """with r0 as (select preprint_folder as paper_id, cite_key, source_format, cited_in_text, doi, arxiv_id, case when try_cast(left(trim(year), 4) as int) between 1600 and 2030 then try_cast(left(trim(year), 4) as int) end as y from ai_citations qualify row_number() over (partition by preprint_folder, cite_key order by ref_id) = 1),
-r as (select *, case when y <= 2027 then 2026 - y end as age from r0 where source_format = 'bibitem' or cited_in_text = 'yes'), cmd as (select paper_id, cite_index, min(pinpoint_class) as pinpoint_class from ai_intext_citations group by all)
+r as (select *, case when y <= 2027 then 2026 - y end as age from r0 where source_format = 'bibitem' or cited_in_text = 'yes'), cmd as (select paper_id, cite_index, pinpoint_class from ai_intext_citations qualify row_number() over (partition by paper_id, cite_index order by cit_id) = 1)
 select p.paper_id, coalesce(n, 0) as n_references, median_age as median_reference_age, coalesce(k, 0) as n_cite_commands, round(specific, 6) as share_pinpoint_specific from (select distinct preprint_folder as paper_id from ai_citations) p
 left join (select paper_id, count(*) as n, median(age) as median_age from r group by all) using (paper_id) left join (select paper_id, count(*) as k, avg((pinpoint_class in ('result','location','page','numbered'))::int) as specific from cmd group by all) using (paper_id)"""
 

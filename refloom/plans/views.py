@@ -15,12 +15,14 @@ R0 = """select l_orderkey as paper_id, row_number() over (partition by l_orderke
   case when l_partkey % 17 = 0 then '' when l_partkey % 19 = 0 then 'n.d.' else cast(2026 - l_partkey % 80 as string) end as year, case when l_suppkey % 2 = 0 then concat('10.1000/', cast(l_partkey as string)) else '' end as doi,
   case when l_suppkey % 3 = 0 then concat('2001.', lpad(cast(l_partkey % 100000 as string), 5, '0')) else '' end as arxiv_id, case when l_returnflag = 'A' then 'bibitem' else 'bibtex' end as source_format,
   case when l_linestatus = 'O' then 'yes' else 'no' end as cited_in_text, l_linenumber, l_partkey, l_suppkey, l_returnflag, cast(l_quantity as int) as qty from {lineitem}"""
-C = """select c.paper_id, c.cite_index, concat('k', cast(1 + (c.l_linenumber + j.j - 1) % 7 as string)) as cite_key, c.group_size, c.pinpoint_class, c.prose_pinpoint, c.section_kind, c.in_proof, c.position
-  from (select paper_id, cast(row_number() over (partition by paper_id order by pos) as int) as cite_index, l_linenumber, 1 + qty % 4 as group_size,
-    case l_partkey % 6 when 0 then 'none' when 1 then 'result' when 2 then 'location' when 3 then 'page' when 4 then 'numbered' else 'other' end as pinpoint_class, case when l_suppkey % 5 = 0 then 'yes' else 'no' end as prose_pinpoint,
+# The rows of a command differ, so that taking the first one shows.
+C = """select c.paper_id, c.cite_index, j.j as pos, concat('k', cast(1 + (c.l_linenumber + j.j - 1) % 7 as string)) as cite_key, c.group_size,
+  case (c.l_partkey + j.j) % 6 when 0 then 'none' when 1 then 'result' when 2 then 'location' when 3 then 'page' when 4 then 'numbered' else 'other' end as pinpoint_class,
+  case when (c.l_suppkey + j.j) % 5 = 0 then 'yes' else 'no' end as prose_pinpoint, c.section_kind, case when j.j > 0 and c.l_partkey % 2 = 0 then 'no' else c.in_proof end as in_proof, cast((c.l_partkey * 7919 + 977 * j.j) % 10000 as double) / cast(10000 as double) as position
+  from (select paper_id, cast(row_number() over (partition by paper_id order by pos) as int) as cite_index, l_linenumber, l_partkey, l_suppkey, 1 + qty % 4 as group_size,
     case l_linenumber when 1 then 'abstract' when 2 then 'front' when 3 then 'intro' when 4 then 'prelim' when 5 then 'main' when 6 then 'discussion' else 'appendix' end as section_kind,
-    case when l_returnflag = 'R' then 'yes' else 'no' end as in_proof, cast((l_partkey * 7919) % 10000 as double) / cast(10000 as double) as position from ({r0}) r0 where qty >= 5) c
-  join (select * from (values (0),(1),(2),(3)) t(j)) j on j.j < c.group_size"""
+    case when l_returnflag = 'R' then 'yes' else 'no' end as in_proof from {r0} r0 where qty >= 5) c {numbers}"""
+_NUMBERS = {"spark": "lateral view explode(sequence(0, c.group_size - 1)) j as j", "duckdb": ", unnest(range(c.group_size)) j(j)"}
 
 
 def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -29,8 +31,9 @@ def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     papers = spark.sql(P, orders=orders, lineitem=lineitem)
     r0 = spark.sql(R0, lineitem=lineitem)
     papers_corpus = papers.select("paper_id", "corpus")
-    refs = first_wins(r0, ["paper_id", "cite_key"], ["pos"]).join(papers_corpus, "paper_id")
-    cites = spark.sql(C.replace("({r0})", "{r0}"), r0=r0)
+    listed = r0.select("paper_id", "cite_key", "pos", "year", "doi", "arxiv_id", "source_format", "cited_in_text")
+    refs = first_wins(listed, ["paper_id", "cite_key"], ["pos"]).join(papers_corpus, "paper_id")
+    cites = spark.sql(C.replace("{numbers}", _NUMBERS["spark"]), r0=r0)
     return papers, refs, cites
 
 
@@ -42,7 +45,7 @@ with p as ({P.format(**_TABLES)}), r0 as ({_R0}), rall as (
   select r0.*, p.corpus, p.citing_year, case when try_cast(left(trim(year), 4) as int) between 1600 and 2030 then try_cast(left(trim(year), 4) as int) end as y
   from r0 join p using (paper_id) qualify row_number() over (partition by paper_id, cite_key order by pos) = 1
 ), r as (select *, case when y <= citing_year + 1 then citing_year - y end as age from rall where corpus <> 'ai' or source_format = 'bibitem' or cited_in_text = 'yes'),
-c as ({C.format(r0=_R0)}), cmd as (select paper_id, cite_index, min(pinpoint_class) as pinpoint_class, min(prose_pinpoint) as prose_pinpoint, min(section_kind) as section_kind, min(in_proof) as in_proof, min(position) as position, min(group_size) as group_size from c group by all),
+c as ({C.format(r0=f"({_R0})", numbers=_NUMBERS["duckdb"])}), cmd as (select paper_id, cite_index, pinpoint_class, prose_pinpoint, section_kind, in_proof, position, group_size from c qualify row_number() over (partition by paper_id, cite_index order by pos) = 1),
 used as (select paper_id, cite_key, n from r join (select paper_id, cite_key, count(*) as n from c group by all) using (paper_id, cite_key)),
 mr as (select paper_id, count(*) as n_references, median(age) as median_reference_age, avg((age <= 3)::int) as share_refs_recent_3y, avg((age >= 30)::int) as share_refs_classic_30y, avg((arxiv_id <> '')::int) as share_refs_arxiv, avg((doi <> '')::int) as share_refs_doi, case when count(age) > 0 then count(age) / count(*) end as share_refs_with_year from r group by all),
 mc as (select paper_id, count(*) as n_cite_commands, avg((pinpoint_class in ('result','location','page','numbered'))::int) as share_pinpoint_specific, avg((pinpoint_class = 'result')::int) as share_pinpoint_result, avg((pinpoint_class in ('result','location','page','numbered') or prose_pinpoint = 'yes')::int) as share_pinpoint_any,
@@ -59,7 +62,7 @@ def ai_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     """(papers, references, in-text rows) of the corpus as received: the first row per folder and key, papers without subject."""
     refs = table(spark, sf_dir, "ai_citations").withColumnRenamed("preprint_folder", "paper_id").withColumn("corpus", F.lit("ai"))
     papers = refs.select("paper_id").distinct().select("paper_id", F.lit("ai").alias("corpus"), F.lit("").alias("subject"), F.lit(2026).alias("citing_year"))
-    cites = table(spark, sf_dir, "ai_intext_citations").withColumnRenamed("key", "cite_key")
+    cites = table(spark, sf_dir, "ai_intext_citations").withColumnsRenamed({"key": "cite_key", "cit_id": "pos"})
     return papers, first_wins(refs, ["paper_id", "cite_key"], ["ref_id"]), cites
 
 

@@ -51,7 +51,7 @@ def test_every_reference_is_planted_and_parsed(spark, tmp_path):
 def test_intervals_of_every_metric_from_2000_replicates(spark, monkeypatch):
     rows = [(g, i, "", m, float(i * 7 % 11) / (3 if g == "ai" else 7)) for m, n in (("n_references", 5), ("mean_group_size", 8)) for g in ("ai", "human") for i in range(n + (g == "ai"))]
     long = spark.createDataFrame(rows, "grp string, paper_id int, subject string, metric string, value double")
-    monkeypatch.setattr(citations, "_metrics", lambda spark, sf_dir: None)
+    monkeypatch.setattr(citations, "_metrics", lambda *_: None)
     monkeypatch.setattr(metrics, "long_metrics", lambda m: long)
     want = {}
     for m in ("n_references", "mean_group_size"):
