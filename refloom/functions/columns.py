@@ -37,13 +37,17 @@ ARXIV = r"(?i)arxiv(?:\.org/(?:abs|pdf)/|[:\s]\s*)(\d{4}\.\d{4,5}|[a-z-]+(?:\.[A
 DOI = r"(10\.\d{4,9}/[^\s},]+)"
 
 
+#: Everything that counts as white space.
+WHITE = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
 def strip_ws(text: Column) -> Column:
     """Without any white space at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def first_filled(*cols: Column) -> Column:

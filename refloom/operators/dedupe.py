@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def _pick(df: DataFrame, keys: list[str], order: list[str], last: bool) -> DataFrame:
-    # an aggregate, not a window: rows of a key are reduced before the shuffle, so a hot key is no hot task
-    rest = [c for c in df.columns if c not in keys]
-    ordered = F.struct(*(F.col(c) for c in order))
-    pick = (F.max_by if last else F.min_by)(F.struct(*rest), ordered)
-    return df.groupBy(*keys).agg(pick.alias("__row")).select(*keys, "__row.*").select(*df.columns)
+    # a rank filter: every task keeps one row of a key before the shuffle, so a hot key is no hot task, and unused columns are not read
+    by = [F.desc_nulls_last(c) if last else F.asc_nulls_first(c) for c in order]
+    return df.withColumn("__place", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where("__place = 1").select(*df.columns)
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refloom.functions.columns import SECTION_KINDS, SPECIFIC, share, year_of
+from refloom.session import staged
 
 # Metrics with label and kind.
 METRICS = [
@@ -50,9 +51,9 @@ def command_metrics(cites: DataFrame, order: str = "pos") -> DataFrame:
     }
     bits = sum((F.when(c, F.lit(1 << i)).otherwise(0).cast("long") for i, c in enumerate(asked.values())), F.lit(0).cast("long"))
     rows = cites.select("paper_id", "cite_index", F.col(order).cast("long").alias("pos"), bits.alias("bits"), F.col("group_size").cast("long").alias("size"))
-    first = rows.groupBy("paper_id", "cite_index").agg(F.min_by("bits", "pos").alias("bits"), F.min_by("size", "pos").alias("size"))
+    first = rows.groupBy("paper_id", "cite_index").agg(F.min_by("bits", "pos").alias("bits"), F.min_by("size", "pos").alias("size"), F.count(F.lit(1)).alias("rows"))
     shares = (F.avg(F.getbit("bits", F.lit(i)).cast("int")).alias(n) for i, n in enumerate(asked))
-    return first.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_cite_commands"), F.avg("size").alias("mean_group_size"), *shares)
+    return first.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_cite_commands"), F.sum("rows").alias("n_cites"), F.avg("size").alias("mean_group_size"), *shares)
 
 
 def ages(papers: DataFrame, refs: DataFrame) -> DataFrame:
@@ -61,8 +62,8 @@ def ages(papers: DataFrame, refs: DataFrame) -> DataFrame:
     return aged.where("cited <= citing_year + 1").select("paper_id", (F.col("citing_year") - F.col("cited")).alias("age"))
 
 
-def reference_metrics(papers: DataFrame, refs: DataFrame) -> DataFrame:
-    """Per paper: printed references, their ages and identifiers. Shares of aged references are null where there are none.
+def reference_metrics(papers: DataFrame, refs: DataFrame, cites: DataFrame | None = None) -> DataFrame:
+    """Per paper: printed references, their ages and identifiers, and with ``cites`` how they are used. Shares of aged or used references are null where there are none.
 
     References are counted by paper and age first; ages are a few hundred at
     most, so the median comes from running counts of a short list, and a paper
@@ -70,8 +71,15 @@ def reference_metrics(papers: DataFrame, refs: DataFrame) -> DataFrame:
     """
     y = year_of(F.col("year"))
     filled = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "").alias(f"n_{c}")
-    listed = printed(refs).join(papers.select("paper_id", "citing_year"), "paper_id").withColumn("age", F.when(y <= F.col("citing_year") + 1, F.col("citing_year") - y))
-    counted = listed.groupBy("paper_id", "age").agg(F.count(F.lit(1)).alias("n"), filled("arxiv_id"), filled("doi"))
+    listed = printed(refs)
+    if cites is not None:
+        uses = cites.where(F.coalesce("cite_key", F.lit("")) != "").groupBy("paper_id", "cite_key").agg(F.count(F.lit(1)).alias("uses"))
+        listed = listed.join(uses, ["paper_id", "cite_key"], "left")
+    else:
+        listed = listed.withColumn("uses", F.lit(None).cast("long"))
+    listed = listed.join(papers.select("paper_id", "citing_year"), "paper_id").withColumn("age", F.when(y <= F.col("citing_year") + 1, F.col("citing_year") - y))
+    used = (F.count("uses").alias("n_used"), F.count_if(F.col("uses") == 1).alias("n_once"), F.sum("uses").alias("n_uses"), F.max("uses").alias("most_uses"))
+    counted = listed.groupBy("paper_id", "age").agg(F.count(F.lit(1)).alias("n"), filled("arxiv_id"), filled("doi"), *used)
     w = W.partitionBy("paper_id").orderBy("age")
     aged = F.when(F.col("age").isNotNull(), F.col("n")).otherwise(0)
     ranked = counted.withColumns({"upto": F.sum(aged).over(w), "n_aged": F.sum(aged).over(W.partitionBy("paper_id"))})
@@ -80,25 +88,19 @@ def reference_metrics(papers: DataFrame, refs: DataFrame) -> DataFrame:
     part = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     out = ranked.groupBy("paper_id").agg(
         F.sum("n").alias("n_references"), F.max("n_aged").alias("n_aged"), middle(F.floor((F.col("n_aged") + 1) / 2)).alias("low"), middle(F.floor(F.col("n_aged") / 2) + 1).alias("high"),
-        part(F.col("age") <= 3).alias("recent"), part(F.col("age") >= 30).alias("classic"), F.sum("n_arxiv_id").alias("n_arxiv"), F.sum("n_doi").alias("n_doi"),
+        part(F.col("age") <= 3).alias("recent"), part(F.col("age") >= 30).alias("classic"), *(F.sum(c).alias(c) for c in ("n_arxiv_id", "n_doi", "n_used", "n_once", "n_uses")), F.max("most_uses").alias("most_uses"),
     )
-    return out.select(
-        "paper_id", "n_references", ((F.col("low") + F.col("high")) / 2).alias("median_reference_age"), share(F.col("recent"), F.col("n_aged")).alias("share_refs_recent_3y"), share(F.col("classic"), F.col("n_aged")).alias("share_refs_classic_30y"),
-        share(F.col("n_arxiv"), F.col("n_references")).alias("share_refs_arxiv"), share(F.col("n_doi"), F.col("n_references")).alias("share_refs_doi"), F.when(F.col("n_aged") > 0, F.col("n_aged") / F.col("n_references")).alias("share_refs_with_year"),
-    )
-
-
-def use_metrics(refs: DataFrame, cites: DataFrame) -> DataFrame:
-    """Per paper with in-text rows: their number, and how its printed references are used; shares are null where no key has a reference."""
-    uses = cites.groupBy("paper_id", "cite_key").agg(F.count(F.lit(1)).alias("uses"))
-    listed = printed(refs).where(F.coalesce("cite_key", F.lit("")) != "").groupBy("paper_id", "cite_key").agg(F.count(F.lit(1)).alias("refs"))
-    used = F.when(F.col("refs").isNotNull(), F.col("uses"))
-    n = F.sum(F.when(used.isNotNull(), F.col("refs")))
-    out = uses.join(listed, ["paper_id", "cite_key"], "left").groupBy("paper_id").agg(F.sum("uses").alias("n_cites"), n.alias("n"), F.sum(F.when(used == 1, F.col("refs")).otherwise(0)).alias("once"), F.max(used).alias("most"), F.sum(used * F.col("refs")).alias("all"))
-    return out.select("paper_id", "n_cites", share(F.col("once"), F.col("n")).alias("share_refs_cited_once"), share(F.col("most"), F.col("all")).alias("max_share_one_reference"))
+    of = lambda a, b: share(F.col(a), F.col(b))
+    names = {
+        "median_reference_age": (F.col("low") + F.col("high")) / 2, "share_refs_recent_3y": of("recent", "n_aged"), "share_refs_classic_30y": of("classic", "n_aged"), "share_refs_arxiv": of("n_arxiv_id", "n_references"),
+        "share_refs_doi": of("n_doi", "n_references"), "share_refs_with_year": F.when(F.col("n_aged") > 0, of("n_aged", "n_references")),
+    }
+    if cites is not None:
+        names |= {"share_refs_cited_once": of("n_once", "n_used"), "max_share_one_reference": of("most_uses", "n_uses")}
+    return out.select("paper_id", "n_references", *(c.alias(n) for n, c in names.items()))
 
 
-_FROM_USES = {"citations_per_reference", "share_refs_cited_once", "max_share_one_reference"}
+_FROM_USES = {"share_refs_cited_once", "max_share_one_reference"}
 _FROM_REFS = {"n_references", "citations_per_reference", "median_reference_age", "share_refs_recent_3y", "share_refs_classic_30y", "share_refs_arxiv", "share_refs_doi", "share_refs_with_year"}
 #: All metrics of a paper, in order.
 ALL_METRICS = [k for k, *_ in METRICS] + [f"share_section_{k}" for k in SECTION_KINDS] + ["share_refs_with_year", "share_refs_arxiv", "share_refs_doi"]
@@ -114,12 +116,10 @@ def paper_metrics(papers: DataFrame, refs: DataFrame, cites: DataFrame, names: l
     """
     names = names or ALL_METRICS
     out = papers
-    if _FROM_REFS & set(names):
-        out = out.join(reference_metrics(papers, refs), "paper_id", "left")
-    if set(names) - _FROM_REFS - _FROM_USES:
+    if (_FROM_REFS | _FROM_USES) & set(names):
+        out = out.join(reference_metrics(papers, refs, cites if _FROM_USES & set(names) else None), "paper_id", "left")
+    if set(names) - _FROM_REFS - _FROM_USES or "citations_per_reference" in names:
         out = out.join(command_metrics(cites), "paper_id", "left")
-    if _FROM_USES & set(names):
-        out = out.join(use_metrics(refs, cites), "paper_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     made = {"n_references": zero, "n_cite_commands": zero, "citations_per_reference": lambda _: share(zero("n_cites").cast("double"), zero("n_references"))}
     return out.select("corpus", "paper_id", "subject", F.col("citing_year").alias("year"), *(made.get(n, F.col)(n).alias(n) for n in names))
@@ -164,8 +164,8 @@ def exact_medians(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def corpus_summary(metrics: DataFrame) -> DataFrame:
-    """(metric, grp, n, mean, median)."""
-    counted = long_metrics(metrics).groupBy("metric", "grp", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(metric, grp, n, mean, median). The papers' metrics are computed once, into counts of each value."""
+    counted = staged(long_metrics(metrics).groupBy("metric", "grp", "value").agg(F.count(F.lit(1)).alias("n")), "counted")
     means = counted.groupBy("metric", "grp").agg(F.sum("n").alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
     return means.join(exact_medians(counted, ["metric", "grp"]), ["metric", "grp"])
 

@@ -78,8 +78,8 @@ def citations_per_reference(spark, sf_dir):
 
 @query(f"{CTES} select paper_id, {_round(['share_refs_cited_once', 'max_share_one_reference'])} from mu")
 def ref_use_concentration(spark, sf_dir):
-    _, refs, cites = planted(spark, sf_dir)
-    return metrics.rounded(metrics.use_metrics(refs, cites).where("max_share_one_reference is not null").drop("n_cites"))
+    uses = metrics.reference_metrics(*planted(spark, sf_dir)).where("max_share_one_reference is not null")
+    return metrics.rounded(uses.select("paper_id", "share_refs_cited_once", "max_share_one_reference"))
 
 
 _AGE = ["median_reference_age", "share_refs_recent_3y", "share_refs_classic_30y", "share_refs_with_year", "share_refs_arxiv", "share_refs_doi"]
