@@ -102,6 +102,7 @@ def test_metrics_of_bare_papers(spark):
     papers = spark.createDataFrame([(1, "ai", "", 2026), (2, "ai", "s", 2026)], "paper_id int, corpus string, subject string, citing_year int")
     refs = spark.createDataFrame([(1, "ai", "bibtex", "no", "a", "2000", "", ""), (2, "ai", "bibitem", "no", "a", "2027", "", "x"), (2, "ai", "bibtex", "yes", "b", "2000", "1", "")], "paper_id int, corpus string, source_format string, cited_in_text string, cite_key string, year string, doi string, arxiv_id string")
     cites = spark.createDataFrame([(2, 1, "a", "result", "no", "intro", "no", 0.1, 2), (2, 1, "zz", "result", "no", "intro", "no", 0.1, 2), (2, 2, "a", "none", "yes", "main", "yes", 0.25, 1)], "paper_id int, cite_index int, cite_key string, pinpoint_class string, prose_pinpoint string, section_kind string, in_proof string, position double, group_size int")
+    cites = cites.withColumn("pos", F.monotonically_increasing_id())
     m = {r.paper_id: r for r in metrics.paper_metrics(papers, refs, cites).collect()}
     assert (m[1].n_references, m[1].n_cite_commands, m[1].citations_per_reference, m[1].median_reference_age) == (0, 0, None, None)
     assert (m[2].n_references, m[2].n_cite_commands, m[2].citations_per_reference, m[2].median_reference_age, m[2].share_first_quarter, m[2].share_pinpoint_any, m[2].share_refs_cited_once, m[2].max_share_one_reference) == (2, 2, 1.5, 12.5, 0.5, 1.0, 0.0, 1.0)
