@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from refloom.llm import format_dups, quota_sample, shared_spans, visual_forms
+from refloom.llm import class_pairs, format_dups, quota_sample, shared_spans, visual_forms
 from refloom.llm.visual_forms import canonical
 
 
@@ -58,15 +58,15 @@ def test_spans_against_brute_force(spark):
     docs.append(docs[0])
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").selectExpr("*", "1 as pos", "2 as hash", "3 as rep")
     want = {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if docs[i] and docs[j] and _longest(docs[i], docs[j]) >= 60}
-    got = [tuple(r) for r in shared_spans.span_pairs(df, 60, 16).collect()]
+    got = [tuple(r) for r in shared_spans.span_pairs(df, 60).collect()]
     assert set(got) == want
     assert len(got) == len(want)
-    found = shared_spans.shared_spans(df, 60, 16).collect()
+    found = shared_spans.shared_spans(df, 60).collect()
     for r in found:
         a, b = docs[r.doc_a], docs[r.doc_b]
         assert a[r.start_a : r.start_a + r.length] == b[r.start_b : r.start_b + r.length]
         assert r.start_a == 0 or r.start_b == 0 or a[r.start_a - 1] != b[r.start_b - 1]
-    shares = {r.doc_id: r for r in shared_spans.shared_share(df, 60, 16).collect()}
+    shares = {r.doc_id: r for r in shared_spans.shared_share(df, 60).collect()}
     assert len(shares) == len(docs)
     assert shares[0].shared_share == 1.0
     assert shares[45].shared_share is None
@@ -74,6 +74,30 @@ def test_spans_against_brute_force(spark):
     assert shared_spans.span_pairs(df.limit(0)).count() == 0
 
 
+def test_spans_in_ranges_parts_and_repeating_texts(spark, monkeypatch):
+    random.seed(12)
+    noise = lambda n: "".join(random.choices("abcdefgh", k=n))
+    docs = [noise(random.randrange(0, 50)) + (random.choice(["=", "-+", "abc", "0123456789"]) * 80)[: random.randrange(20, 160)] + noise(random.randrange(0, 50)) for _ in range(40)]
+    docs += ["=" * n for n in (59, 60, 61, 100, 500)] + [docs[0], docs[0]]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    want = {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if _longest(docs[i], docs[j]) >= 60}
+    monkeypatch.setattr(shared_spans, "MOST_BITS", 14)  # four ranges of the hash
+    monkeypatch.setattr(class_pairs, "PART", 3)
+    join = class_pairs.class_join
+    monkeypatch.setattr(shared_spans, "class_join", lambda *a: join(*a, most=3))
+    got = [tuple(r) for r in shared_spans.span_pairs(df, 60).collect()]
+    assert set(got) == want
+    assert len(got) == len(want)
+    covered = {i: set() for i in range(len(docs))}
+    for i, a in enumerate(docs):
+        for j, b in enumerate(docs):
+            if i != j:
+                for s in range(len(a) - 59):
+                    if a[s : s + 60] in b:
+                        covered[i].update(range(s, s + 60))
+    assert {r.doc_id: r.shared_chars for r in shared_spans.shared_share(df, 60).collect()} == {i: len(c) for i, c in covered.items()}
+
+
 def _brute_seats(available, target, floor, size, names):
     ranked = sorted((0 if r <= f else 1, 0 if r <= f else (r - 0.5) / t, n, r) for a, t, f, n in zip(available, target, floor, names) for r in range(1, a + 1) if t > 0 or r <= f)
     seats = Counter(n for *_, n, _ in ranked[:size])
