@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 from refloom.llm import class_pairs, format_dups, quota_sample, shared_spans, visual_forms
-from refloom.llm.visual_forms import canonical
+from refloom.llm.visual_forms import canonical, look
 
 
 def test_formats_collapse(spark, monkeypatch):
@@ -30,6 +30,22 @@ def test_canonical_forms():
         assert canonical(canonical(t)) == canonical(t)
 
 
+def test_words_keep_their_script():
+    for native in ("Москва и Петербург", "Αθήνα ΤΟΜΗ", "С. Петров, В. А. Сосна", "Հայաստան", "ТО", "An α-stable Kα"):
+        assert canonical(native) == native or native == "ТО"
+    assert canonical("Mосквa и С. Пeтров") == "Москва и С. Петров"
+    assert canonical("А. Smith and С. Петров") == "A. Smith and С. Петров"
+    assert canonical("Ꮪtanford") == "Stanford"
+    assert canonical("ТО") == canonical("TO") == "TO"  # nothing tells its script
+    random.seed(3)
+    swap = {"а": "a", "о": "o", "С": "C", "М": "M", "A": "А", "o": "о", "c": "с"}
+    for _ in range(300):
+        t = " ".join("".join(random.choices("аоСМAocкжn.θ", k=random.randrange(1, 6))) for _ in range(4))
+        u = "".join(swap.get(c, c) if random.random() < 0.5 else c for c in t)
+        assert look(t) == look(u)
+        assert canonical(t) == canonical(u) == canonical(canonical(t))
+
+
 def test_same_look_pairs(spark):
     rows = [(1, "Ann", "t"), (2, "Аnn", "t"), (3, "Ann", None), (4, None, "ｔ"), (5, "", " "), (2, "Аnn", "t")]
     df = spark.createDataFrame(rows, "ref_id long, author string, title string").selectExpr("*", "1 as form", "2 as raw", "3 as fld")
