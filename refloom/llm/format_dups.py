@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refloom.session import hot_threshold, staged
@@ -64,6 +63,8 @@ def collapse(df: DataFrame, row_id: str = "ref_id", title: str = "title", identi
 def copies(df: DataFrame, row_id: str = "ref_id", title: str = "title", identifiers: str = "normalized_id") -> DataFrame:
     """(ref_id_a, ref_id_b): every copy with its record, the smallest id of the copies. See :func:`collapse`."""
     hot, rest = _parts(staged(keyed(df, row_id, title, identifiers), "keyed"))
-    one = rest.withColumn("least", F.min("id").over(W.partitionBy("key")))
+    # most keys occur once: only those that repeat are looked up again
+    repeated = rest.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
+    one = rest.join(repeated, "key")
     many = hot.join(F.broadcast(_hot_totals(hot).select("key", "least")), "key")
     return one.select("id", "least").unionByName(many.select("id", "least")).where("id > least").select(F.col("least").alias("ref_id_a"), F.col("id").alias("ref_id_b"))

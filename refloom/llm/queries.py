@@ -48,12 +48,21 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
 
 
+#: A mixture unlike the documents' own shares: as much of each source, but twice as much of papers' texts.
+MIXTURE = {"tex": 2.0, "bbl": 1.0, "bib": 1.0, "abstract": 1.0, "readme": 1.0, "note": 1.0}
+
+
 def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_pack.pack_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities"))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_pack.mixture_report(staged(p9_pack(spark, sf_dir), "packed"))
+    return mix_pack.mixture_report(staged(mix_pack.pack_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities"), MIXTURE), "packed"))
+
+
+def p9_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, caps = mix_pack.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_capacities")
+    return mix_pack.packing_faults(items, staged(mix_pack.pack_items(items, caps, MIXTURE), "packed"), caps)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +73,4 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_share(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_mixture": p9_mixture, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_found": p6_found, "p6_records": p6_records, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_pack": p9_pack, "p9_mixture": p9_mixture, "p9_faults": p9_faults, "p10_found": p10_found, "p10_share": p10_share}

@@ -74,6 +74,26 @@ def test_packing_keeps_everything_and_the_mixture(spark):
         assert (full.cumsum().sub(np.outer(np.arange(1, len(full) + 1), total.to_numpy() * 20_000))).abs().max().max() < 1000  # deficits stay below an item
 
 
+def test_windows_stay_full_when_a_source_runs_out(spark):
+    random.seed(7)
+    rows = [(i, "big" if i % 3 else "small", random.randrange(0, 60)) for i in range(6000)] + [(10_000 + i, "empty", 0) for i in range(500)]
+    items = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    caps = spark.createDataFrame([(1, 100)], "capacity_id int, capacity_tokens int")
+    packed = mix_pack.pack_items(items, caps, {"big": 1.0, "small": 1.0}, 10_000)
+    shares = packed.toPandas().groupby(["window", "source"]).n_tokens.sum().unstack(fill_value=0)
+    total = shares.sum(axis=1)
+    assert len(shares) > 14
+    assert (total.iloc[:-1] - 10_000).abs().max() < 130  # an item of each source
+    both = int(shares["small"].sum() // 5000)
+    assert both < len(shares) - 3  # the small source runs out well before the end
+    assert (shares["small"].iloc[:both] - 5000).abs().max() < 130
+    assert shares["small"].iloc[both + 1 :].sum() == 0
+    fault = mix_pack.packing_faults(items, packed, caps, 10_000).first()
+    assert (fault["items"], fault.split_items, fault.changed_items, fault.overfull, fault.uneven_windows) == (6500, 0, 0, 0, 0)
+    with pytest.raises(ValueError, match="positive"):
+        mix_pack.pack_items(items, caps, {"big": 0.0})
+
+
 def test_packing_follows_targets_and_takes_empty_tables(spark):
     items, _ = _items(spark)
     caps = spark.createDataFrame([(1, 400)], "capacity_id int, capacity_tokens int")
