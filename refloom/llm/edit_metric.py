@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Keys per pivot aimed at, and the bounded sample from which pivots are chosen at the driver.
-PER_PIVOT, PIVOT_SAMPLE, MOST_PIVOTS = 4000, 2048, 256
+from refloom.session import staged
+
+#: Keys for which a further pivot pays, the bounded sample from which pivots are chosen at the driver, and the most pivots: no key lies in more cells than these.
+PER_PIVOT, PIVOT_SAMPLE, MOST_PIVOTS = 4000, 2048, 8
 
 
 def distance(a: str, b: str) -> int:
@@ -93,20 +95,23 @@ def radius_join(keys: DataFrame, key: str, radius: int = 1) -> DataFrame:
     Each key belongs to the cell of its nearest pivot. It is replicated to every
     other cell whose pivot is at most 2 * ``radius`` farther than its own: by the
     triangle inequality a key at distance r of a home key of cell i can be no
-    farther than that from pivot i. Inside a cell, home keys of each length
-    probe the keys of lengths within the radius, candidates sharing a deletion
-    form are compared with the metric itself, and nothing is capped.
+    farther than that from pivot i. Distances between short names are much
+    alike, so more pivots mean more replicas; there are at most ``MOST_PIVOTS``,
+    whatever the number of keys. A cell is no unit of work: inside it, home keys
+    are joined in the shuffle with the keys that share a deletion form, of
+    which there are no more than letters times places to insert them, and these
+    candidates are compared with the metric itself. Nothing is capped.
     Nulls are left out, repeated keys count once, the empty key is a key.
     """
-    distinct = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
+    distinct = staged(keys.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct(), "keys")
     n = distinct.count()
-    sample = [r[0] for r in distinct.orderBy(F.xxhash64("key")).limit(PIVOT_SAMPLE).collect()]
+    sample = [r[0] for r in distinct.orderBy(F.xxhash64("key")).limit(PIVOT_SAMPLE).collect()] if n > PER_PIVOT else []
     pivots = choose_pivots(sample, max(1, min(MOST_PIVOTS, -(-n // PER_PIVOT))))
 
-    def assign(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for at in range(0, len(pdf), 4096):
-                own = pdf["key"].iloc[at : at + 4096].tolist()
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                own = batch.column(0).slice(at, 4096).to_pylist()
                 if len(pivots) > 1:
                     d = np.stack([distances(own, p) for p in pivots])
                     home = d.argmin(axis=0)
@@ -114,23 +119,33 @@ def radius_join(keys: DataFrame, key: str, radius: int = 1) -> DataFrame:
                 else:
                     home, who = np.zeros(len(own), dtype=int), np.arange(len(own))
                     cell = who * 0
-                is_home = home[who] == cell
-                size = np.array([len(k) for k in own])[who]
-                names = np.array(own, dtype=object)[who]
-                for shift in range(-radius, radius + 1):
-                    yield pd.DataFrame({"cell": cell, "size": size + shift, "key": names, "home": is_home & (shift == 0)})
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside: dict[str, list[str]] = defaultdict(list)
-        found = set()
-        for k in pdf["key"]:
-            for form in deletions(k, radius):
-                inside[form].append(k)
-        for k in pdf.loc[pdf["home"], "key"]:
-            for other in {o for form in deletions(k, radius) for o in inside[form]}:
-                if other != k and distance(k, other) <= radius:
-                    found.add((min(k, other), max(k, other)))
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
-
-    cells = distinct.mapInPandas(assign, "cell long, size long, key string, home boolean")
-    return cells.groupBy("cell", "size").applyInPandas(join, "a string, b string").distinct()
+                forms = [sorted(deletions(k, radius)) for k in own]
+                sizes = np.array([len(f) for f in forms])[who]
+                rows = np.repeat(np.arange(len(who)), sizes)
+                flat = [f for w in who for f in forms[w]]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[rows].astype(np.int32)), pa.array(flat, pa.string()), pa.array([own[w] for w in who[rows]], pa.string()), pa.array((home[who] == cell)[rows])], ["cell", "form", "key", "home"])
+
+    forms = distinct.mapInArrow(assign, "cell int, form string, key string, home boolean").select("cell", F.xxhash64("form").alias("form"), "key", "home")
+    mine = forms.where("home").select("cell", "form", F.col("key").alias("x"))
+    pairs = mine.join(forms.select("cell", "form", F.col("key").alias("y")), ["cell", "form"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.where(within(F.col("a"), F.col("b"), F.lit(radius)))
+
+
+@F.arrow_udf(T.BooleanType())
+def within(a: pa.Array, b: pa.Array, radius: pa.Array) -> pa.Array:
+    """Whether two keys are within the radius of each other."""
+    return pa.array([abs(len(x) - len(y)) <= r and distance(x, y) <= r for x, y, r in zip(a.to_pylist(), b.to_pylist(), radius.to_pylist())], pa.bool_())
+
+
+def to_roots(links: DataFrame, at: str, to: str) -> DataFrame:
+    """``links`` (at -> to, one for each ``at``, without circles) followed to their ends.
+
+    Each round doubles the way that is known, until no end is the beginning of a
+    link any more: as many rounds as the longest chain has binary digits.
+    """
+    links = staged(links.select(at, to), "links")
+    while True:
+        further = links.select(F.col(at).alias(to), F.col(to).alias("__end"))
+        if links.join(further, to, "left_semi").isEmpty():
+            return links
+        links = staged(links.join(further, to, "left").select(at, F.coalesce("__end", to).alias(to)), "links")

@@ -7,14 +7,13 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from refloom.functions.packed import plain
-from refloom.llm.edit_metric import distance, radius_join
+from refloom.llm.class_pairs import class_join
+from refloom.llm.edit_metric import radius_join, to_roots
 from refloom.operators.packed_values import split_packed
 from refloom.session import skew_join, staged
 
@@ -102,11 +101,6 @@ def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), batch.column(1)], ["name", "org", "family", "given", "rest", "sure", "n"])
 
 
-@F.pandas_udf(T.BooleanType())
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1 for x, y in zip(a, b)])
-
-
 _FULL: dict[str, str] = {}
 for _name, _shorts in SHORT_FORMS.items():
     for _s in _shorts.split():
@@ -153,9 +147,11 @@ def name_entities(names: DataFrame) -> DataFrame:
     """(name, entity): each spelling of ``names`` (name, n) and the person or organisation it stands for.
 
     1. Families (and whole names of organisations) within one edit are joined by
-       :func:`radius_join`; a rare one goes to its most frequent neighbour.
+       :func:`radius_join`; a rare one goes to its most frequent neighbour, and
+       on to that one's, until none is more frequent.
     2. Within a family, full given names within one edit, or a short and its
-       full form, are one person; the more frequent form names it.
+       full form, are one person; the most frequent form names it. Which given
+       names are near each other is found once for all families.
     3. A spelling with initials goes to the person whose name, or short name,
        has them, one without given name to the family's most frequent person.
     """
@@ -171,18 +167,25 @@ def name_entities(names: DataFrame) -> DataFrame:
     w = lambda x: kin.select(F.col("kin").alias(x), F.col("w").alias(f"w_{x}"), F.col("letters").alias(f"letters_{x}"))
     up = both.join(w("a"), "a").join(w("b"), "b").where((F.col("w_b") > F.col("w_a")) | ((F.col("w_b") == F.col("w_a")) & (F.col("b") < F.col("a"))))
     up = up.where(F.arrays_overlap("letters_a", "letters_b") | F.array_contains("letters_a", "") | F.array_contains("letters_b", ""))
-    up = staged(up.groupBy("a").agg(F.max_by("b", F.struct("w_b", "b")).alias("b")), "up")
-    roots = up.alias("u").join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("kin"), F.coalesce("c", "b").alias("root"))
+    up = up.groupBy("a").agg(F.max_by("b", F.struct("w_b", "b")).alias("b"))
+    roots = to_roots(up, "a", "b").select(F.col("a").alias("kin"), F.col("b").alias("root"))
     people = staged(people.join(roots, "kin", "left").withColumn("root", F.coalesce("root", "kin")), "rooted")
 
     # 2: persons of a family, by their full given names
     persons = people.where(F.length("formal") > 1).groupBy("root", "formal").agg(F.sum("n").alias("w"), F.collect_set(F.substring("given", 1, 1)).alias("letters"), F.collect_set(F.when(F.col("rest") != "", F.substring("rest", 1, 1))).alias("mids"))
     persons = staged(persons, "persons")
+    alike = radius_join(persons, "formal", 1)
+    alike = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = persons.select("root", F.col("formal").alias("other"), F.col("w").alias("w_other"))
-    typo = persons.join(other, "root").where((F.col("formal") != F.col("other")) & ((F.col("w_other") > F.col("w")) | ((F.col("w_other") == F.col("w")) & (F.col("other") < F.col("formal")))) & (F.levenshtein("formal", "other", 2) >= 0))
-    typo = typo.where(_near("formal", "other")).groupBy("root", "formal").agg(F.max_by("other", F.struct("w_other", "other")).alias("person"))
-    people = people.join(typo, ["root", "formal"], "left").withColumn("person", F.coalesce("person", F.when(F.length("formal") > 1, F.col("formal"))))
-    heads = persons.join(typo.select("root", "formal"), ["root", "formal"], "left_anti")
+    typo = persons.select("root", "formal", "w").join(alike.select(F.col("a").alias("formal"), F.col("b").alias("other")), "formal").join(other, ["root", "other"])
+    typo = typo.where((F.col("w_other") > F.col("w")) | ((F.col("w_other") == F.col("w")) & (F.col("other") < F.col("formal"))))
+    typo = typo.groupBy("root", "formal").agg(F.max_by("other", F.struct("w_other", "other")).alias("other"))
+    # a family's given name as one text, so that its links are followed within the family
+    named = lambda c: F.concat_ws("|", "root", c)
+    ends = to_roots(typo.select(named("formal").alias("at"), named("other").alias("to")), "at", "to")
+    typo = ends.select(F.col("at").alias("who"), F.substring_index("to", "|", -1).alias("person"))
+    people = people.withColumn("who", named("formal")).join(typo, "who", "left").drop("who").withColumn("person", F.coalesce("person", F.when(F.length("formal") > 1, F.col("formal"))))
+    heads = persons.withColumn("who", named("formal")).join(typo, "who", "left_anti")
 
     # 3: initials, and no given name at all
     known = F.create_map(*[F.lit(x) for full, shorts in SHORT_FORMS.items() for x in (full, "".join(sorted({s[0] for s in shorts.split()})))])
@@ -191,8 +194,14 @@ def name_entities(names: DataFrame) -> DataFrame:
     marks = F.array_union(F.transform(written, lambda x: F.struct(x.alias("letter"), F.lit(1).alias("written"))), F.transform(usual, lambda x: F.struct(x.alias("letter"), F.lit(0).alias("written"))))
     lettered = heads.select("root", F.col("formal").alias("head"), "w", "mids", F.explode(marks).alias("m")).select("root", "head", "w", "mids", "m.letter", "m.written").where("letter <> ''")
     short = people.where("person is null").select("name", "root", F.col("formal").alias("letter"), "rest")
-    fits = F.when((F.col("rest") == "") | (F.size("mids") == 0), 1).when(F.array_contains("mids", F.substring("rest", 1, 1)), 3).otherwise(0)
-    by_letter = short.where("letter <> ''").join(lettered, ["root", "letter"]).groupBy("name").agg(F.max_by("head", F.struct(F.col("written") + fits, "w", "head")).alias("found"))
+    # the best person of a family and letter: one with the further initial, one without any, or just any; each is found before names are looked up
+    best = lambda rows, keys, extra: rows.groupBy(*keys).agg(F.max(F.struct((F.col("written") + extra).alias("fit"), "w", "head")).alias("best"))
+    with_mid = best(lettered.withColumn("mid", F.explode("mids")), ["root", "letter", "mid"], 3).withColumnRenamed("best", "b1")
+    no_mid = best(lettered.where(F.size("mids") == 0), ["root", "letter"], 1).withColumnRenamed("best", "b2")
+    anyone = best(lettered, ["root", "letter"], 0).withColumnRenamed("best", "b3")
+    rest = F.substring("rest", 1, 1)
+    of_letter = short.where("letter <> ''").withColumn("mid", rest).join(anyone.join(no_mid, ["root", "letter"], "left"), ["root", "letter"]).join(with_mid, ["root", "letter", "mid"], "left")
+    by_letter = of_letter.select("name", F.when(F.col("mid") == "", F.col("b3")).otherwise(F.greatest("b1", "b2", "b3"))["head"].alias("found"))
     by_family = short.where("letter = ''").join(heads.groupBy("root").agg(F.max_by("formal", F.struct("w", "formal")).alias("found")), "root").select("name", "found")
     people = people.join(by_letter.unionByName(by_family), "name", "left")
     return people.select("name", F.concat_ws("|", "root", F.coalesce("person", "found", F.col("formal"))).alias("entity"))
@@ -206,4 +215,4 @@ def variant_pairs(citations: DataFrame, flags: DataFrame) -> DataFrame:
     """
     entities = staged(name_entities(staged(spellings(citations, flags), "names")), "entities")
     b = entities.select("entity", F.col("name").alias("name_b"))
-    return entities.withColumnRenamed("name", "name_a").join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+    return class_join(entities.withColumnRenamed("name", "name_a"), b, ["entity"], "name_a", "name_b").where("name_a < name_b").select("name_a", "name_b")

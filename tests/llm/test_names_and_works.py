@@ -63,6 +63,32 @@ def test_spellings_of_one_person(spark):
     assert name_variants.variant_pairs(cit.limit(0), flags.limit(0)).count() == 0
 
 
+def test_links_are_followed_to_their_ends(spark):
+    links = [(i, i + 1) for i in range(1, 14)] + [(50, 9), (70, 71)]
+    got = {tuple(r) for r in edit_metric.to_roots(spark.createDataFrame(links, "a int, b int"), "a", "b").collect()}
+    assert got == {(i, 14) for i in range(1, 14)} | {(50, 14), (70, 71)}
+
+
+def test_chains_of_names(spark):
+    # families and given names that are each one letter from the next, ever more frequent
+    rows = [("Kraplona, Anselm", 1), ("Kraplon, Anselm", 2), ("Kraplonn, Anselm", 4), ("Kraplonnt, Anselm", 8), ("Bruvik, Martina", 1), ("Bruvik, Marttina", 3), ("Bruvik, Marttiina", 9)]
+    names = spark.createDataFrame(rows, "name string, n long")
+    entity = {r.name: r.entity for r in name_variants.name_entities(names).collect()}
+    assert len({entity[n] for n, _ in rows[:4]}) == 1
+    assert len({entity[n] for n, _ in rows[4:]}) == 1
+
+
+def test_one_family_of_many_given_names(spark):
+    random.seed(4)
+    given = sorted({"".join(random.choices("abcdefghijklmnoprstuv", k=9)).title() for _ in range(50_000)})
+    typo = [g[:4] + g[5:] for g in given[:200]]
+    names = spark.createDataFrame([(f"Hotname, {g}", 5) for g in given] + [(f"Hotname, {g}", 1) for g in typo], "name string, n long")
+    entity = {r.name: r.entity for r in name_variants.name_entities(names).collect()}
+    assert len(entity) == len(given) + len(typo)
+    assert all(entity[f"Hotname, {t}"] == entity[f"Hotname, {g}"] for g, t in zip(given, typo))
+    assert len(set(entity.values())) >= len(given) - 5  # a few of so many are near each other by chance
+
+
 def test_title_parts():
     assert entity_match.title_parts("{On} <i>big</i> gr&#246;ups: a second look, II") == ("on big groups", "on big groups a second look", 2, "")
     assert entity_match.title_parts("Erratum to: The Big group")[1:] == ("big group", 0, "erratum")
