@@ -176,6 +176,19 @@ class Field:
                 good += _typed(q, self.kind)
         return out, good / len(out) if out else 0.0
 
+    def first(self, combo: Sequence[str]) -> tuple[str, bool] | None:
+        """The first piece under ``combo``, and whether it looks like a value."""
+        raw = _cutter(tuple(combo)).split(self.text.lstrip(_EDGE), maxsplit=2)
+        if self.kind == "name" and "comma" in combo:
+            raw = _rejoined(raw[:2])
+        left = [_SIGN[n] for n in self.present if n not in combo and n not in ("comma", "space", "and")]
+        hidden = iter(self.parts)
+        q = _tidy(re.sub(_HOLE, lambda m: next(hidden), raw[0]) if self.parts and _HOLE in raw[0] else raw[0])
+        if not q:
+            return None
+        lone = "and" in self.present and "and" not in combo and _AND.search(raw[0]) and not _BODY.match(raw[0] + " ")
+        return q, q in self.quoted or (not any(s.search(raw[0].strip()) for s in left) and not lone and _typed(q, self.kind))
+
     def single(self) -> list[str]:
         """The value of a field without delimiters."""
         hidden = iter(self.parts)
@@ -219,5 +232,16 @@ def values(field: str | None, kind: str, order: Sequence[str] = ()) -> list[str]
 
 
 def first_value(field: str, kind: str = "name") -> str:
-    """The first of :func:`values`, or ''."""
-    return next(iter(values(field, kind)), "")
+    """The first value of a field, or '', without cutting the rest of a long one: the first piece, under the strongest delimiters that make it look like a value."""
+    made = Field(field, kind)
+    if not made.present:
+        return next(iter(made.single()), "")
+    kept = ""
+    for combo in made.combos():
+        piece = made.first(combo)
+        if piece is None:
+            continue
+        kept = kept or piece[0]
+        if piece[1]:
+            return piece[0]
+    return kept
