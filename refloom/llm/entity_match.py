@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refloom.functions.packed import first_value, plain
-from refloom.llm.edit_metric import distance
+from refloom.llm.assignment import one_to_one
+from refloom.llm.edit_metric import distance, to_roots
 from refloom.llm.format_dups import bare
 from refloom.llm.name_variants import ORG_WORDS, parse
 from refloom.session import staged
@@ -173,7 +174,8 @@ def _subject(key: str) -> frozenset[str]:
 
 def _alike(x: frozenset[str], y: frozenset[str]) -> bool:
     """Whether two titles share half of the shorter one's words of subject."""
-    return 2 * len(x & y) >= min(len(x), len(y))
+    least = min(len(x), len(y))
+    return least < 2 or 2 * len(x & y) >= least  # a single word may be misspelt where it begins
 
 
 def _slide(rows: Iterator[tuple[str, int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -293,7 +295,9 @@ def title_likeness(a: str, b: str) -> float:
     """2 * shared words / all words, misspelt and shortened words counting as shared.
 
     A word left out costs little; words of subject that stand against each
-    other on both sides make it another title: each such pair takes 0.3 off.
+    other on both sides make it another title: each such pair takes 0.3 off. A
+    title of six words or more, of which most are not in the other as they are,
+    is not compared further.
     """
     if a == b:
         return 1.0
@@ -305,7 +309,7 @@ def title_likeness(a: str, b: str) -> float:
         else:
             lone.append(w)
     left = []
-    if 2 * len(lone) > len(x) + 2:
+    if len(x) > 5 and 2 * len(lone) > len(x) + 2:
         return 0.0
     for w in lone:
         twin = next((v for v in free if w not in _LIGHT and v not in _LIGHT and _one_word(w, v)), None)
@@ -361,37 +365,76 @@ def scored(pairs: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.round(total / weight, 4))
 
 
+def _short(side: str) -> list[Column]:
+    """The attributes of a unit (u) or record (r) that rule a pair out, as numbers."""
+    number = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"{side}_{c}")
+    return [number(c) for c in ("part", "kind", "volume", "pages")] + [F.col("years" if side == "r" else "year").alias("r_years" if side == "r" else "u_year")]
+
+
+def record_works(good: DataFrame, regs: DataFrame) -> DataFrame:
+    """(reg_id, work): records of one work, which match a common unit and each other, under the smallest reg_id among them; others are works of their own.
+
+    A unit has no more records than the windows of its keys hold, so its records
+    are compared in pairs.
+    """
+    ids = good.select("unit", "reg_id")
+    both = ids.withColumnRenamed("reg_id", "low").join(ids, "unit").where("low < reg_id").select("low", "reg_id").distinct()
+    attributes = ("main", "full", "names", "part", "kind", "volume", "pages", "years")
+    side = lambda x, key: regs.select(F.col("reg_id").alias(key), *(F.col(c).alias(f"{x}_{c}") for c in attributes))
+    pairs = both.join(side("u", "low"), "low").join(side("r", "reg_id"), "reg_id")
+    # of two lists of years the nearest ones count
+    nearest = F.array_min(F.flatten(F.transform("u_years", lambda x: F.transform("r_years", lambda y: F.struct(F.abs(x - y).alias("off"), x.alias("year"))))))["year"]
+    same = scored(without_conflict(pairs.withColumn("u_year", nearest))).where(F.col("confidence") >= LEAST)
+    links = to_roots(same.groupBy("reg_id").agg(F.min("low").alias("work")), "reg_id", "work")
+    return regs.select("reg_id").join(links, "reg_id", "left").select("reg_id", F.coalesce("work", "reg_id").alias("work"))
+
+
 def match_units(citations: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((unit, reg_id, confidence, ...), (id, unit)): the matches between works as cited and registry records."""
     units, rows = cited_units(citations)
-    units, regs = staged(units, "units"), staged(registry_units(registry), "regs")
+    # pairs are two numbers; a unit's number may stand for two units, which are then both compared
+    number = F.xxhash64("unit").alias("number")
+    units, regs = staged(units.withColumn("number", number), "units"), staged(registry_units(registry), "regs")
     code = F.xxhash64("k")  # it only finds candidates; whether they match is seen from the attributes
-    ukeys = units.select("unit", F.explode(sort_keys(F.when(F.col("year").isNotNull(), F.array("year")).otherwise(F.array().cast("array<int>")))).alias("k"))
-    rkeys = regs.select("reg_id", F.explode(sort_keys(F.col("years"))).alias("k"))
+    ukeys = units.select("number", *_short("u"), F.explode(sort_keys(F.when(F.col("year").isNotNull(), F.array("year")).otherwise(F.array().cast("array<int>")))).alias("k"))
+    rkeys = regs.select("reg_id", *_short("r"), F.explode(sort_keys(F.col("years"))).alias("k"))
     keys = ukeys.select("k", F.lit(0).alias("side")).unionByName(rkeys.select("k", F.lit(1).alias("side"))).distinct().withColumn("code", code)
     near = window_pairs(keys, 5 * (units.count() + regs.count()))
-    # pairs are two numbers; a unit's number may stand for two units, which are then both compared
-    number = F.xxhash64("unit").alias("number")
-    pairs = near.join(rkeys.select("reg_id", code.alias("reg_code")), "reg_code").join(ukeys.select(number, code.alias("unit_code")), "unit_code").select("reg_id", "number").distinct()
-    # first the short attributes, which rule most pairs out, then titles and names
-    short = ("part", "kind", "volume", "pages")
-    pairs = pairs.join(regs.select("reg_id", *(F.col(c).alias(f"r_{c}") for c in (*short, "years"))), "reg_id").join(units.select("unit", number, *(F.col(c).alias(f"u_{c}") for c in (*short, "year"))), "number")
-    pairs = without_conflict(pairs).drop("number", *(f"{x}_{c}" for x in "ur" for c in short))
-    long = ("main", "full", "names")
-    pairs = pairs.join(regs.select("reg_id", *(F.col(c).alias(f"r_{c}") for c in long)), "reg_id").join(units.select("unit", *(F.col(c).alias(f"u_{c}") for c in long)), "unit")
-    good = staged(scored(pairs).where(F.col("confidence") >= LEAST), "scored")
-    best_u = good.groupBy("unit").agg(F.max("confidence").alias("best_u"))
-    best_r = good.groupBy("reg_id").agg(F.max("confidence").alias("best_r"))
-    kept = good.join(best_u, "unit").join(best_r, "reg_id").where(F.col("confidence") >= F.greatest("best_u", "best_r") - MARGIN)
-    return kept, rows
+    # the short attributes come with the keys and rule most pairs out before titles and names are joined
+    pairs = near.join(rkeys.withColumn("reg_code", code).drop("k"), "reg_code").join(ukeys.withColumn("unit_code", code).drop("k"), "unit_code")
+    pairs = without_conflict(pairs).select("reg_id", "number").distinct()
+    attributes = ("main", "full", "names", "part", "kind", "volume", "pages")
+    pairs = pairs.join(regs.select("reg_id", *(F.col(c).alias(f"r_{c}") for c in (*attributes, "years"))), "reg_id").join(units.select("unit", "number", *(F.col(c).alias(f"u_{c}") for c in (*attributes, "year"))), "number")
+    good = staged(scored(without_conflict(pairs)).where(F.col("confidence") >= LEAST).select("unit", "reg_id", "confidence"), "scored")
+    return assigned(good, regs), rows
+
+
+def assigned(good: DataFrame, regs: DataFrame) -> DataFrame:
+    """The matches of ``good`` (unit, reg_id, confidence) that an assignment of works keeps.
+
+    Records are gathered to works first. Units with a DOI are works for certain:
+    they and the registry's works are assigned one to one. Units without are
+    citations of some work that is not named by an identifier, so many may go
+    to one work; they go to what lies within ``MARGIN`` of their best.
+    """
+    works = staged(record_works(good, regs), "works")
+    good = staged(good.join(works, "reg_id").select("unit", "reg_id", "work", "confidence"), "worked")
+    certain = F.col("unit").startswith("d:")
+    pairs = good.where(certain).groupBy("unit", "work").agg(F.max("confidence").alias("c"))
+    chosen = one_to_one(pairs.select(F.col("unit").alias("left"), F.col("work").alias("right"), "c"))
+    sure = good.where(certain).join(chosen.select(F.col("left").alias("unit"), F.col("right").alias("work")), ["unit", "work"])
+    candidates = sure.unionByName(good.where(~certain))
+    best_u = candidates.groupBy("unit").agg(F.max("confidence").alias("best_u"))
+    best_r = candidates.groupBy("reg_id").agg(F.max("confidence").alias("best_r"))
+    return candidates.join(best_u, "unit").join(best_r, "reg_id").where(F.col("confidence") >= F.greatest("best_u", "best_r") - MARGIN)
 
 
 def matches(citations: DataFrame, registry: DataFrame) -> DataFrame:
     """(ref_id, reg_id, confidence): citations with a title and registry records of the same work.
 
-    A work may be cited in many rows and have several records, so the assignment
-    keeps, for both sides, what lies within ``MARGIN`` of the best match, and no
-    match below ``LEAST``. A citation without a title and a record without one
+    Citations are gathered to units and records to works, which are assigned to
+    each other (:func:`assigned`); no match is below ``LEAST``. Equal keys of any
+    order always meet, others within ``WINDOW`` keys. A citation without a title and a record without one
     match nothing; missing authors, years, volumes and pages are left out of the
     comparison. Repeated rows each match. Other columns are ignored.
     """

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from refloom.llm import edit_metric, entity_match, name_variants
+from refloom.llm import assignment, edit_metric, entity_match, name_variants
 from refloom.llm.edit_metric import distance
 
 
@@ -98,6 +98,33 @@ def test_title_parts():
     assert entity_match.title_likeness("big groups of spheres", "big towers of spheres") < 0.6
 
 
+def _most(edges):
+    """The largest total of a one-to-one part, by trying all."""
+    if not edges:
+        return 0.0
+    (a, b, c), rest = edges[0], edges[1:]
+    return max(_most(rest), c + _most([e for e in rest if e[0] != a and e[1] != b]))
+
+
+def test_assignment(spark):
+    random.seed(6)
+    got_total = want_total = 0.0
+    edges = []
+    for block in range(12):
+        pairs = {(f"u{block}{random.randrange(4)}", 10 * block + random.randrange(4)) for _ in range(7)}
+        edges.append([(u, w, round(random.uniform(0.78, 1), 4)) for u, w in pairs])
+    df = spark.createDataFrame([e for b in edges for e in b], "left string, right long, c double")
+    got = assignment.one_to_one(df).collect()
+    assert len({r.left for r in got}) == len({r.right for r in got}) == len(got)
+    known = {(u, w): c for b in edges for u, w, c in b}
+    assert all(known[r.left, r.right] == r.c for r in got)
+    got_total, want_total = sum(r.c for r in got), sum(_most(b) for b in edges)
+    assert got_total >= 0.92 * want_total  # dense components, where longer exchanges would help
+    swap = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.85), ("b", 1, 0.88)], "left string, right long, c double")
+    assert {(r.left, r.right) for r in assignment.one_to_one(swap).collect()} == {("a", 2), ("b", 1)}
+    assert assignment.one_to_one(df.limit(0)).count() == 0
+
+
 def test_works_match(spark):
     cit = [
         (1, "On big groups of spheres", "Ann One and B. Two", "2001", "7", "1-9", "doi:10.1/x"), (2, "on big gruops of spheres.", None, None, None, None, "doi:10.1/X arxiv:9.9"), (3, "Big groups", None, "n.d.", None, None, "arxiv:9.9"),
