@@ -24,8 +24,9 @@ def class_join(left: DataFrame, right: DataFrame, keys: list[str], spread_left:
     known = lambda d: d.where(" and ".join(f"{k} is not null" for k in keys))
     count = lambda d, n: known(d).groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > most)
     sizes = staged(count(left, "__l").join(count(right, "__r"), keys, "full"), "classes")
+    # the small files of a staged table would be taken for a small table
     if sizes.isEmpty():
-        return left.join(right, keys)
+        return left.join(right.hint("merge"), keys)
     parts = lambda c: F.coalesce(F.ceil(F.col(c) / most), F.lit(1)).cast("int")
     sizes = sizes.select(*keys, parts("__l").alias("__pl"), parts("__r").alias("__pr"), F.greatest(F.coalesce("__l", F.lit(0)), F.coalesce("__r", F.lit(0))).alias("__n"))
 
@@ -38,4 +39,4 @@ def class_join(left: DataFrame, right: DataFrame, keys: list[str], spread_left:
 
     a = spread(left, spread_left, "__pl", "__pr").withColumnsRenamed({"__mine": "__i", "__theirs": "__j"})
     b = spread(right, spread_right, "__pr", "__pl").withColumnsRenamed({"__mine": "__j", "__theirs": "__i"})
-    return a.join(b, [*keys, "__i", "__j"]).drop("__i", "__j")
+    return a.join(b.hint("merge"), [*keys, "__i", "__j"]).drop("__i", "__j")

@@ -127,7 +127,7 @@ def radius_join(keys: DataFrame, key: str, radius: int = 1) -> DataFrame:
 
     forms = distinct.mapInArrow(assign, "cell int, form string, key string, home boolean").select("cell", F.xxhash64("form").alias("form"), "key", "home")
     mine = forms.where("home").select("cell", "form", F.col("key").alias("x"))
-    pairs = mine.join(forms.select("cell", "form", F.col("key").alias("y")), ["cell", "form"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = mine.join(forms.select("cell", "form", F.col("key").alias("y")).hint("merge"), ["cell", "form"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.where(within(F.col("a"), F.col("b"), F.lit(radius)))
 
 

@@ -165,7 +165,7 @@ def name_entities(names: DataFrame) -> DataFrame:
     near = staged(radius_join(kin.where("kin like 'p:%'"), "kin", 1).unionByName(radius_join(kin.where("kin like 'o:%'"), "kin", 1)), "near")
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     w = lambda x: kin.select(F.col("kin").alias(x), F.col("w").alias(f"w_{x}"), F.col("letters").alias(f"letters_{x}"))
-    up = both.join(w("a"), "a").join(w("b"), "b").where((F.col("w_b") > F.col("w_a")) | ((F.col("w_b") == F.col("w_a")) & (F.col("b") < F.col("a"))))
+    up = both.join(w("a").hint("merge"), "a").join(w("b").hint("merge"), "b").where((F.col("w_b") > F.col("w_a")) | ((F.col("w_b") == F.col("w_a")) & (F.col("b") < F.col("a"))))
     up = up.where(F.arrays_overlap("letters_a", "letters_b") | F.array_contains("letters_a", "") | F.array_contains("letters_b", ""))
     up = up.groupBy("a").agg(F.max_by("b", F.struct("w_b", "b")).alias("b"))
     roots = to_roots(up, "a", "b").select(F.col("a").alias("kin"), F.col("b").alias("root"))
@@ -177,14 +177,14 @@ def name_entities(names: DataFrame) -> DataFrame:
     alike = radius_join(persons, "formal", 1)
     alike = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = persons.select("root", F.col("formal").alias("other"), F.col("w").alias("w_other"))
-    typo = persons.select("root", "formal", "w").join(alike.select(F.col("a").alias("formal"), F.col("b").alias("other")), "formal").join(other, ["root", "other"])
+    typo = persons.select("root", "formal", "w").join(alike.select(F.col("a").alias("formal"), F.col("b").alias("other")), "formal").join(other.hint("merge"), ["root", "other"])
     typo = typo.where((F.col("w_other") > F.col("w")) | ((F.col("w_other") == F.col("w")) & (F.col("other") < F.col("formal"))))
     typo = typo.groupBy("root", "formal").agg(F.max_by("other", F.struct("w_other", "other")).alias("other"))
     # a family's given name as one text, so that its links are followed within the family
     named = lambda c: F.concat_ws("|", "root", c)
     ends = to_roots(typo.select(named("formal").alias("at"), named("other").alias("to")), "at", "to")
     typo = ends.select(F.col("at").alias("who"), F.substring_index("to", "|", -1).alias("person"))
-    people = people.withColumn("who", named("formal")).join(typo, "who", "left").drop("who").withColumn("person", F.coalesce("person", F.when(F.length("formal") > 1, F.col("formal"))))
+    people = people.withColumn("who", named("formal")).join(typo.hint("merge"), "who", "left").drop("who").withColumn("person", F.coalesce("person", F.when(F.length("formal") > 1, F.col("formal"))))
     heads = persons.withColumn("who", named("formal")).join(typo, "who", "left_anti")
 
     # 3: initials, and no given name at all
@@ -203,7 +203,7 @@ def name_entities(names: DataFrame) -> DataFrame:
     of_letter = short.where("letter <> ''").withColumn("mid", rest).join(anyone.join(no_mid, ["root", "letter"], "left"), ["root", "letter"]).join(with_mid, ["root", "letter", "mid"], "left")
     by_letter = of_letter.select("name", F.when(F.col("mid") == "", F.col("b3")).otherwise(F.greatest("b1", "b2", "b3"))["head"].alias("found"))
     by_family = short.where("letter = ''").join(heads.groupBy("root").agg(F.max_by("formal", F.struct("w", "formal")).alias("found")), "root").select("name", "found")
-    people = people.join(by_letter.unionByName(by_family), "name", "left")
+    people = people.join(by_letter.unionByName(by_family).hint("merge"), "name", "left")
     return people.select("name", F.concat_ws("|", "root", F.coalesce("person", "found", F.col("formal"))).alias("entity"))
 
 
