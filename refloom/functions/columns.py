@@ -123,7 +123,7 @@ def strip_comments(text: Column) -> Column:
 
 def cited_keys(text: Column) -> Column:
     """All keys of cite-like commands in TeX text, comments left out, each once."""
-    groups = F.regexp_extract_all(F.regexp_replace(_or_empty(text), r"(?<!\\)%.*", ""), F.lit(r"\\(?:[a-zA-Z]*cite[a-zA-Z]*|nocite)\*?(?:\[[^\]]*\]){0,2}\{([^}]*)\}"), F.lit(1))
+    groups = F.regexp_extract_all(strip_comments(_or_empty(text)), F.lit(r"\\(?:[a-zA-Z]*cite[a-zA-Z]*|nocite)\*?(?:\[[^\]]*\]){0,2}\{([^}]*)\}"), F.lit(1))
     return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), strip_ws), lambda k: k != ""))
 
 

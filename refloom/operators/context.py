@@ -35,6 +35,12 @@ def with_clamped_depth(df: DataFrame, delta: F.Column, partition: list[str], ord
     return summed.withColumn(name, F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(w))).drop("__sum")
 
 
+def with_running_marks(df: DataFrame, mark: F.Column, value: F.Column, partition: list[str], order: list[str], count: str, last: str) -> DataFrame:
+    """``df`` with the number of marked rows so far as ``count`` and the last marked row's value as ``last``."""
+    w = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumns({count: F.count_if(mark).over(w), last: F.last(F.when(mark, value), True).over(w)})
+
+
 def intext_citations(bodies: DataFrame) -> DataFrame:
     """One row per key of each citation command, with section, proof, abstract, pinpoint and position.
 
@@ -47,9 +53,9 @@ def intext_citations(bodies: DataFrame) -> DataFrame:
     w = W.partitionBy("paper_id").orderBy("offset").rowsBetween(W.unboundedPreceding, 0)
     tok = F.col("token")
     t = with_clamped_depth(t, F.when(tok == "begin_proof", 1).when(tok == "end_proof", -1).otherwise(0), ["paper_id"], ["offset"], "proofs")
-    t = t.withColumns({"sections": F.count_if(tok == "section").over(w), "appendices": F.count_if(tok == "appendix").over(w)})
+    t = with_running_marks(t, tok == "section", F.col("title"), ["paper_id"], ["offset"], "sections", "section_title").withColumn("appendices", F.count_if(tok == "appendix").over(w))
     kind = F.when(tok == "section", C.section_kind(F.col("title"), F.col("sections"), F.col("appendices") > 0)).when(tok == "appendix", "appendix")
-    t = t.withColumn("kind", F.coalesce(F.last(kind, True).over(w), F.lit("front"))).withColumn("section_title", F.coalesce(F.last(F.when(tok == "section", F.col("title")), True).over(w), F.lit("")))
+    t = t.withColumn("kind", F.coalesce(F.last(kind, True).over(w), F.lit("front"))).withColumn("section_title", F.coalesce("section_title", F.lit("")))
     t = t.withColumn("in_abstract", F.coalesce(F.last(F.when(tok == "begin_abstract", True).when(tok == "end_abstract", False), True).over(w), F.lit(False)))
     t = t.withColumn("cite_index", F.count_if(tok == "cite").over(w)).where("token = 'cite'")
     rows = t.select("*", F.posexplode("cite_keys").alias("key_pos", "key"))

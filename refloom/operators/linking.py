@@ -9,6 +9,7 @@ from refloom.functions import columns as C
 
 # How a reference links to a paper of the corpus, and the organisation's name that goes with a bare title.
 LINK = r"github\.com/openai/math/(?:blob|tree)/[^/\s]+/preprints/([^/\s}{]+)|\bOAI:([A-Za-z0-9-]+-20\d\d)\b"
+LINK_HEAD = "https://github.com/openai/math/blob/main/preprints/"
 PUBLISHER = "openai"
 FLAGGED = ["title_mismatch", "title_partial", "not_found"]
 
@@ -70,3 +71,11 @@ def flagged_dois(checked: DataFrame, order: str) -> DataFrame:
     f = checked.where(F.col("status").isin(*FLAGGED)).withColumn("k", F.lower(C.normalize_doi(F.col("doi"))))
     out = f.groupBy("k").agg(F.min_by(F.struct(*kept, F.col("preprint_folder").alias("example_preprint")), order).alias("r"), F.count(F.lit(1)).alias("n_citing_refs"))
     return out.select("r.*", "n_citing_refs", F.lit("").alias("verdict")).orderBy("status", F.lower("doi"))
+
+
+def doi_tile(checked: DataFrame) -> DataFrame:
+    """One row: references with a checked DOI, those whose title matches, those flagged, and their shares."""
+    of = lambda c: F.count_if(c)
+    flagged, match = F.col("status").isin(*FLAGGED), F.col("status") == "title_match"
+    out = checked.agg(F.count(F.lit(1)).alias("n_checked"), of(match).alias("n_match"), of(flagged).alias("n_flagged"))
+    return out.select("*", F.try_divide("n_match", "n_checked").alias("share_match"), F.try_divide("n_flagged", "n_checked").alias("share_flagged"))

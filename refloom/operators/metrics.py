@@ -227,3 +227,22 @@ def pinpoint_paper_histogram(metrics: DataFrame) -> DataFrame:
     v = F.col("share_pinpoint_specific")
     bins = F.when(v == 0, 0).otherwise(F.least(F.lit(5), 1 + F.floor(v * 5 - 1e-9)))
     return metrics.where("(corpus = 'human' or coalesce(subject, '') <> '') and share_pinpoint_specific is not null").groupBy("corpus", bins.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_subjects(papers: DataFrame, subjects: DataFrame) -> DataFrame:
+    """``papers`` (paper_id, ...) with the subject that ``subjects`` (preprint_folder, subject) gives them, '' for those it lacks. Subjects must be unique by folder."""
+    known = subjects.select(F.col("preprint_folder").alias("paper_id"), F.col("subject").alias("__subject"))
+    return papers.drop("subject").join(known, "paper_id", "left").withColumn("subject", F.coalesce("__subject", F.lit(""))).drop("__subject")
+
+
+def subject_gaps(subjects: DataFrame, metric: str, least: int = 10) -> DataFrame:
+    """(subject, n_ai, n_human, ai, human, gap) of :func:`by_subject`, for subjects with ``least`` papers on both sides, the largest gap first."""
+    ai, human = F.col(f"{metric}_ai"), F.col(f"{metric}_human")
+    shown = subjects.where((F.col("n_ai") >= least) & (F.col("n_human") >= least))
+    return shown.select("subject", "n_ai", "n_human", ai.alias("ai"), human.alias("human"), (ai - human).alias("gap")).orderBy(F.desc_nulls_last("gap"), "subject")
+
+
+def metric_gaps(differences: DataFrame, kind: str = "share") -> DataFrame:
+    """(metric, diff_mean) of one kind of metric, the largest difference in either direction first."""
+    of_kind = [k for k, _, kd in METRICS if kd == kind]
+    return differences.where(F.col("metric").isin(*of_kind)).orderBy(F.desc_nulls_last(F.abs("diff_mean")), "metric")

@@ -28,11 +28,25 @@ def markdown(table: DataFrame, counts: dict[str, int]) -> str:
     return "\n".join([*head, *("| " + " | ".join(r) + " |" for r in cells)]) + "\n"
 
 
-def summary_json(table: DataFrame, histograms: dict[str, DataFrame]) -> DataFrame:
-    """One row, one column ``json``: the metrics and the named histograms as one document, put together in the cluster."""
+def paper_counts(metrics: DataFrame) -> DataFrame:
+    """One row: the papers of each group, ai_all, ai_matched (with a subject) and human."""
+    is_ai = F.col("corpus") == "ai"
+    return metrics.agg(F.count_if(is_ai).alias("ai_all"), F.count_if(is_ai & (F.coalesce("subject", F.lit("")) != "")).alias("ai_matched"), F.count_if(F.col("corpus") == "human").alias("human"))
+
+
+def summary_json(table: DataFrame, histograms: dict[str, DataFrame], single: dict[str, DataFrame] | None = None, statuses: DataFrame | None = None) -> DataFrame:
+    """One row, one column ``json``: the metrics, the named histograms and the frames of a single row (such as n_papers and ai_internal_citations) as one document.
+
+    ``statuses`` (status, n) becomes the block ai_doi_check. All parts are as small as
+    there are metrics, bins or statuses; they are put together in the cluster.
+    """
     doc = table.agg(F.sort_array(F.collect_list(F.struct("place", "metric", "label", "kind", "ai_all", "ai", "human", "diff_mean", "low", "high"))).alias("metrics"))
     for name, h in histograms.items():
         doc = doc.crossJoin(h.agg(F.sort_array(F.collect_list(F.struct(*h.columns))).alias(name)))
+    for name, one in (single or {}).items():
+        doc = doc.crossJoin(one.select(F.struct(*one.columns).alias(name)))
+    if statuses is not None:
+        doc = doc.crossJoin(statuses.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("ai_doi_check")))
     return doc.select(F.to_json(F.struct(*doc.columns)).alias("json"))
 
 

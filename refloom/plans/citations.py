@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refloom.functions import columns as C
 from refloom.operators import bootstrap, dedupe, linking, metrics, sampling
-from refloom.operators.context import with_clamped_depth
+from refloom.operators.context import with_clamped_depth, with_running_marks
 from refloom.plans.views import CTES, ai_tables, human_tables, planted
 from refloom.session import table
 
@@ -110,6 +109,19 @@ def by_subject(spark, sf_dir):
     return metrics.rounded(metrics.by_subject(_metrics(spark, sf_dir, metrics.BY_SUBJECT)))
 
 
+_GAP = "share_in_proof"
+
+
+@query(CTES + f", b as (select subject, count(*) filter (where corpus = 'ai') as n_ai, count(*) filter (where corpus = 'human') as n_human, avg({_GAP}) filter (where corpus = 'ai') as ai, avg({_GAP}) filter (where corpus = 'human') as human from m where corpus = 'human' or subject <> '' group by subject) select subject, n_ai, n_human, round(ai, 6) as ai, round(human, 6) as human, round(ai - human, 6) as gap from b where n_ai >= 10 and n_human >= 10")
+def subject_gaps(spark, sf_dir):
+    return metrics.rounded(metrics.subject_gaps(metrics.by_subject(_metrics(spark, sf_dir, metrics.BY_SUBJECT)), _GAP))
+
+
+@query(f"{CTES} {_LONG}, d as (select metric, round(avg(value) filter (where grp = 'ai') - avg(value) filter (where grp = 'human'), 6) as diff_mean from long group by all) select * from d where metric like 'share%' or metric like 'max_share%'")
+def metric_gaps(spark, sf_dir):
+    return metrics.rounded(metrics.metric_gaps(metrics.difference_of_means(_metrics(spark, sf_dir, _M))))
+
+
 _HIST = f"{CTES}, h as (select r.corpus, least(age, 100) as age, count(*) as n from r join p using (paper_id) where age >= 0 and (r.corpus = 'human' or subject <> '') group by all)"
 
 
@@ -214,10 +226,17 @@ def log_gap_repair(spark, sf_dir):
     return sampling.repair_log(cand, sized.where("id % 5 = 0 and 3 * rank <= 2 * size").drop("size"), sized.where("id % 3 = 0 and 10 * rank <= 9 * size").select("id", (F.col("id") % 4).alias("n_references")))
 
 
-@query("select event_id, user_id, event_type from events e where not exists (select 1 from events d where d.event_type = 'click' and d.user_id = e.user_id)")
+@query("select cand_id, id from human_candidates c where not exists (select 1 from human_citations d where d.preprint_folder = c.id)")
 def cache_antijoin(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return dedupe.not_done(e, e.where("event_type = 'click'"), ["user_id"]).select("event_id", "user_id", "event_type")
+    """The candidates whose references have not been extracted yet."""
+    done = table(spark, sf_dir, "human_citations").select(F.col("preprint_folder").alias("id"))
+    return dedupe.not_done(table(spark, sf_dir, "human_candidates"), done, ["id"]).select("cand_id", "id")
+
+
+@query(f"with k as ({_RANK}), u as (select *, coalesce(sum((id % 7 <> 0)::int) over (partition by stratum order by rank rows between unbounded preceding and 1 preceding), 0) as before, 3 * length(stratum) as quota from k) select stratum, rank, id, cast(before // quota + 1 as int) as pass from u where before // quota + 1 <= 2")
+def two_pass_walk(spark, sf_dir):
+    cand = _ranked(spark, sf_dir).withColumn("n_ai_in_stratum", 3 * F.length("stratum")).withColumn("usable", F.col("id") % 7 != 0)
+    return sampling.two_pass_walk(cand, "usable").select("stratum", "rank", "id", "pass")
 
 
 for _name, _f, _dir in (("first_wins_dedupe", dedupe.first_wins, "asc"), ("last_wins_dedupe", dedupe.last_wins, "desc")):
@@ -229,9 +248,8 @@ _STATE = """select event_id, user_id, count(*) filter (where event_type = 'view'
 
 @query(_STATE)
 def running_section_state(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    view = F.col("event_type") == "view"
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.count_if(view).over(w).alias("sections"), F.last(F.when(view, F.col("event_id")), True).over(w).alias("section"))
+    marked = with_running_marks(table(spark, sf_dir, "events"), F.col("event_type") == "view", F.col("event_id"), ["user_id"], ["event_id"], "sections", "section")
+    return marked.select("event_id", "user_id", "sections", "section")
 
 
 _DELTA = "case when event_id % 3 = 0 then 1 when event_id % 3 = 1 then -1 else 0 end"
@@ -322,9 +340,27 @@ def flagged_rollup(spark, sf_dir):
     return linking.flagged_dois(checked, "order")
 
 
-@query()
+_LINKED = f"""with r as (select a.*, b.preprint_folder as next_folder, b.preprint_title as next_title, {_WORDS.format('b.preprint_title')} as next_words from ai_citations a left join ai_citations b on b.ref_id = a.ref_id + 1),
+meta as (select preprint_folder, arg_max(preprint_title, ref_id) as m_title, arg_max(preprint_date, ref_id) as m_date, min(ref_id) as first from ai_citations group by all),
+titles as (select {_WORDS.format('m_title')} as t, arg_max(preprint_folder, first) as by_title from meta group by all),
+k as (select r.*, case ref_id % 5 when 0 then case when next_folder is null then 'other' else 'repo_link' end when 1 then 'repo_link_unknown_folder' when 2 then case when next_title is not null then 'title' else 'other' end else 'other' end as method from r where ref_id % 5 < 4)
+select k.preprint_folder as citing_folder, cite_key, case method when 'repo_link' then next_folder when 'repo_link_unknown_folder' then 'no-such-folder' when 'title' then by_title else '' end as cited_folder,
+  case method when 'repo_link' then 'repo_link' when 'repo_link_unknown_folder' then 'repo_link_unknown_folder' when 'title' then 'title' else 'openai_other' end as match_method,
+  case when (case method when 'repo_link' then next_folder when 'title' then by_title else '' end) = k.preprint_folder then 'yes' else 'no' end as self_citation,
+  coalesce(case method when 'repo_link' then m1.m_date when 'title' then m2.m_date end, '') as cited_date
+from k left join titles on t = next_words left join meta m1 on m1.preprint_folder = next_folder left join meta m2 on m2.preprint_folder = by_title"""
+
+
+@query(_LINKED)
 def cross_citation_link(spark, sf_dir):
-    return linking.cross_citations(table(spark, sf_dir, "ai_citations"))
+    """Of five references in turn one links to the folder of the next reference, one to no folder, one names the next one's title with the publisher, one the publisher alone, one nothing."""
+    a = table(spark, sf_dir, "ai_citations")
+    after = a.select((F.col("ref_id") - 1).alias("ref_id"), F.col("preprint_folder").alias("next_folder"), F.col("preprint_title").alias("next_title"))
+    turn = F.col("ref_id") % 5
+    link = F.when((turn == 0) & F.col("next_folder").isNotNull(), F.concat(F.lit(linking.LINK_HEAD), "next_folder", F.lit("/main.tex"))).when(turn == 1, linking.LINK_HEAD + "no-such-folder/x")
+    named = (turn == 2) | (turn == 3) | ((turn == 0) & F.col("next_folder").isNull())
+    refs = a.join(after, "ref_id", "left").withColumns({"url": F.coalesce(link, F.lit("")), "author": F.when(named, F.lit(linking.PUBLISHER.title())).otherwise("Someone Else"), "title": F.when(turn == 2, F.col("next_title")).otherwise("No paper of this name"), "note": F.lit(""), "raw_reference": F.lit("")})
+    return linking.cross_citations(refs).select("citing_folder", "cite_key", "cited_folder", "match_method", "self_citation", "cited_date")
 
 
 @query("select count(*) as n_references, count(distinct citing_folder) as citing_papers, count(distinct cited_folder) as cited_papers, count(*) filter (where cited_date > citing_date) as cites_later_release, count(*) filter (where self_citation = 'yes') as self_citations from ai_cross_citations where match_method in ('repo_link', 'title')")

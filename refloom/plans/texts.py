@@ -81,8 +81,8 @@ _DATED = _truth("left(year, 4)")
 
 
 def cited_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").where("source = 'tex'")
-    return t.select("doc_id", F.size(C.cited_keys(F.col("text"))).alias("n_keys"))
+    """The keys of every document, null and empty ones included, in order."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(C.cited_keys(F.col("text"))), " ").alias("keys"))
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,8 @@ QUERIES = {f.__name__: f for f in (parse_bib, parse_bibitems, parse_amsrefs, par
 
 _HK = "concat('h', cast(ref_id as varchar))"
 ORACLES = {
+    "cited_keys": r"""with g as (select doc_id, unnest(regexp_extract_all(regexp_replace(coalesce(text, ''), '(^|[^\\])%[^\n]*', '\1', 'g'), '\\(?:[a-zA-Z]*cite[a-zA-Z]*|nocite)\*?(?:\[[^\]]*\]){0,2}\{([^}]*)\}', 1)) as grp from documents),
+k as (select distinct doc_id, regexp_replace(unnest(str_split(grp, ',')), '^\s+|\s+$', '', 'g') as k from g) select d.doc_id, coalesce(string_agg(k, ' ' order by k), '') as keys from documents d left join (select * from k where k <> '') k on k.doc_id = d.doc_id group by d.doc_id""",
     "parse_bib": _truth(), "parse_bibitems": _ITEM, "parse_amsrefs": _DATED, "parse_biblatex": _DATED,
     "reference_list": f"select preprint_folder as paper_id, {_HK} as cite_key, 'T ' || {_HK} as title, '2001' as year, 'yes' as cited_in_text, 'bibitem' as source_format from human_citations",
     "cite_tokenizer": f"select preprint_folder as paper_id, cast(row_number() over (partition by preprint_folder order by {_HK}) as int) as cite_index, {_HK} as key, 1 as group_size, 'Lemma 3' as postnote, 'result' as pinpoint_class, 'yes' as prose_pinpoint, 'intro' as section_kind, 'yes' as in_proof from human_citations",

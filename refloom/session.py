@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset and everything runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = getattr(spark, "_refloom_dir", None)
     if made is None or not os.path.isdir(made):
         made = tempfile.mkdtemp(prefix="refloom-")
@@ -45,15 +47,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage durably (an executor may be lost afterwards) and lets a
     result that is used several times be computed once. The files are removed
-    when the Python process ends.
+    by :func:`release`, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/refloom-{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
-    atexit.register(_drop, spark, path)
+    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Remove the files of all staged tables. Call it when the results that read them have been written."""
+    while _STAGED:
+        _drop(*_STAGED.pop())
+
+
+atexit.register(release)
+
+
 def hot_threshold(total: int, least: int = 20_000, most_hot: int = MAX_HOT_KEYS) -> int:
     """Rows from which a key counts as hot. No more than ``most_hot`` keys can reach it."""
     return max(least, -(-total // most_hot))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import random
 import time
 import urllib.error
 import urllib.parse
@@ -15,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from refloom.operators.sampling import SEED, listing_query
 from refloom.schemas import LISTING, REGISTRY
 
 # Addresses, paces and batch sizes of the services.
@@ -27,6 +30,10 @@ ATOM = {"a": "http://www.w3.org/2005/Atom", "x": "http://arxiv.org/schemas/atom"
 Get = Callable[[str], tuple[int, bytes]]
 
 
+# Fixed value: the fields of a registry's work that are read.
+WORKS_FIELDS = "DOI,type,title,subtitle,author,editor,issued,published-print,published-online,published,container-title,volume,page"
+
+
 def http_get(url: str) -> tuple[int, bytes]:
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "refloom"}), timeout=120) as r:
@@ -42,8 +49,18 @@ def replay(answers: dict[str, str]) -> Get:
     return lambda url: (200, answers[url].encode()) if url in answers else (404, b"")
 
 
-def patient(get: Get, tries: int, pause: float, sleep: Callable[[float], None] = time.sleep) -> Get:
-    """``get`` at most once per ``pause`` seconds, tried again on trouble: after what the service asks, else 60 s doubled up to 600. 400 and 404 are final."""
+def listing_wait(n: int, status: int) -> float:  # noqa: ARG001
+    """Seconds before the next try at a listing: a minute, doubled up to ten."""
+    return min(60 * 2**n, 600)
+
+
+def works_wait(n: int, status: int) -> float:
+    """Seconds before the next try at a registry: more with each try, and much more where it asks for fewer requests."""
+    return (30 if status == 429 else 5) * (n + 1)
+
+
+def patient(get: Get, tries: int, pause: float, sleep: Callable[[float], None] = time.sleep, wait: Callable[[int, int], float] = listing_wait) -> Get:
+    """``get`` at most once per ``pause`` seconds, tried again on trouble: after what the service asks, else after ``wait``. 400 and 404 are final."""
 
     def run(url: str) -> tuple[int, bytes]:
         status, body = 0, b""
@@ -52,7 +69,8 @@ def patient(get: Get, tries: int, pause: float, sleep: Callable[[float], None] =
             status, body = get(url)
             if status in (200, 400, 404):
                 return status, body
-            sleep(float(body) if body.isdigit() else min(60 * 2**n, 600))
+            if n + 1 < tries:
+                sleep(float(body) if body.isdigit() else wait(n, status))
         return status if status else 0, b""
 
     return run
@@ -88,6 +106,24 @@ def list_pages(get: Get, search: str, page: int = LISTING_PAGE) -> Iterator[dict
         start += page
 
 
+def list_category(get: Get, category: str, start: str, end: str, most: int = 10_000, enough: int = 300, seed: int = SEED) -> Iterator[dict]:
+    """The papers of a category first published from ``start`` to ``end``: of the whole window, or where that lists more than ``most`` entries of days drawn at random until ``enough`` papers are found."""
+    window = lambda a, b: f"{listing_query(category)} AND submittedDate:[{a.replace('-', '')}0000 TO {b.replace('-', '')}2359]"
+    status, body = get(f"{LISTING_URL}?{urllib.parse.urlencode({'search_query': window(start, end), 'start': 0, 'max_results': 1, 'sortBy': 'submittedDate', 'sortOrder': 'ascending'})}")
+    total = parse_listing(body)[0] if status == 200 else 0
+    first = datetime.date.fromisoformat(start)
+    days = (datetime.date.fromisoformat(end) - first).days + 1
+    drawn = [(start, end)] if total <= most else [(d, d) for d in (str(first + datetime.timedelta(days=n)) for n in random.Random(f"{seed}-{category}-days").sample(range(days), days))]
+    papers: dict[str, dict] = {}
+    for a, b in drawn:
+        for e in list_pages(get, window(a, b)):
+            if (e["primary_category"] == category or e["primary_category"].startswith(f"{category}.")) and start <= e["published"] <= end:
+                papers[e["id"]] = e
+        if total > most and len(papers) >= enough:
+            break
+    yield from (papers[i] for i in sorted(papers))
+
+
 @dataclass
 class _Search(InputPartition):
     search: str
@@ -155,7 +191,7 @@ def look_up(get: Get, dois: list[str]) -> Iterator[dict]:
     single = [d for d in dois if "," in d]
     for i in range(0, len(batched), WORKS_BATCH):
         some = batched[i : i + WORKS_BATCH]
-        status, body = get(f"{WORKS_URL}?{urllib.parse.urlencode({'filter': ','.join(f'doi:{d}' for d in some), 'rows': len(some)})}")
+        status, body = get(f"{WORKS_URL}?{urllib.parse.urlencode({'filter': ','.join(f'doi:{d}' for d in some), 'rows': len(some), 'select': WORKS_FIELDS})}")
         if status != 200:
             single += some
             continue
@@ -171,8 +207,8 @@ def registry_records(dois: DataFrame, answers: dict[str, str] | None = None) ->
     """The registry records of ``dois`` (doi), looked up one request at a time; ``answers`` replays recorded ones. Join with ``left_anti`` on the cache first."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = replay(answers) if answers is not None else patient(http_get, WORKS_TRIES, WORKS_PAUSE)
+        get = replay(answers) if answers is not None else patient(http_get, WORKS_TRIES, WORKS_PAUSE, wait=works_wait)
         for pdf in pdfs:
             yield pd.DataFrame(list(look_up(get, pdf["doi"].tolist())), columns=REGISTRY.names)
 
-    return dois.select("doi").coalesce(1).mapInPandas(run, REGISTRY)
+    return dois.select("doi").repartition(1).mapInPandas(run, REGISTRY)

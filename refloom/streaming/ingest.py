@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from refloom.operators.dedupe import not_done
 
@@ -15,7 +16,9 @@ def resume(todo: DataFrame, log_path: str, key: str, work: Callable[[DataFrame],
     spark = todo.sparkSession
     try:
         left = not_done(todo, spark.read.parquet(log_path), [key])
-    except Exception:  # noqa: BLE001 - no log yet
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no log yet, or an empty one
+            raise
         left = todo
     work(left).write.mode("append").parquet(log_path)
 

@@ -2,6 +2,7 @@ import gzip
 import io
 import json
 import tarfile
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,7 +182,7 @@ def test_services_replayed(spark):
     rows = spark.read.format("listing").option("searches", json.dumps(["q"])).option("answers", json.dumps({url: _page(1, ["2001.00001v2"])})).load().collect()
     assert [(r.id, r.title, r.categories, r.n_authors) for r in rows] == [("2001.00001", "A b", "math.AG cs.X", "2")]
     answers = {
-        f"{services.WORKS_URL}?filter=doi%3A10.1%2Fa%2Cdoi%3A10.1%2Fb&rows=2": json.dumps({"message": {"items": [{"DOI": "10.1/A", "title": ["T"], "subtitle": ["S"], "issued": {"date-parts": [[2001]]}, "published": {"date-parts": [[2000]]}, "editor": [{"name": "Ed"}]}]}}),
+        f"{services.WORKS_URL}?filter=doi%3A10.1%2Fa%2Cdoi%3A10.1%2Fb&rows=2&select={urllib.parse.quote(services.WORKS_FIELDS)}": json.dumps({"message": {"items": [{"DOI": "10.1/A", "title": ["T"], "subtitle": ["S"], "issued": {"date-parts": [[2001]]}, "published": {"date-parts": [[2000]]}, "editor": [{"name": "Ed"}]}]}}),
         f"{services.HANDLE_URL}10.1/b": json.dumps({"responseCode": 1}),
     }
     got = services.registry_records(spark.createDataFrame([("10.1/a",), ("10.1/b",)], "doi string"), answers).collect()
@@ -201,3 +202,52 @@ def test_ingest_once(spark, tmp_path):
     for _ in range(2):
         ingest.resume(spark.range(4), f"file://{tmp_path}/log", "id", lambda d: done.append(d.count()) or d)
     assert done == [4, 0]
+
+
+def test_listing_of_whole_windows_and_of_days():
+    entry = lambda i, day, cat: f'<entry><id>http://x/abs/{i}v1</id><title>T</title><published>{day}T00:00:00Z</published><updated>{day}T00:00:00Z</updated><category term="{cat}"/><a:primary_category xmlns:a="http://arxiv.org/schemas/atom" term="{cat}"/></entry>'
+    feed = lambda total, entries: f'<feed xmlns="http://www.w3.org/2005/Atom" xmlns:o="http://a9.com/-/spec/opensearch/1.1/"><o:totalResults>{total}</o:totalResults>{"".join(entries)}</feed>'.encode()
+    asked = []
+
+    def get(url):
+        q = urllib.parse.parse_qs(urllib.parse.urlparse(url).query)
+        search = q["search_query"][0]
+        asked.append(search)
+        a, b = (search.split("[")[1][:8], search.split(" TO ")[1][:8])
+        days = [d for d in range(20200101, 20200111) if int(a) <= d <= int(b)]
+        found = [entry(f"{d}.{n}", f"{d}"[:4] + "-" + f"{d}"[4:6] + "-" + f"{d}"[6:], "math.AG" if n else "math.NT") for d in days for n in range(3)]
+        return 200, feed(len(found), found if q["max_results"][0] != "1" else found[:1])
+
+    whole = list(services.list_category(get, "math.AG", "2020-01-01", "2020-01-10"))
+    assert len(whole) == 20
+    asked.clear()
+    some = list(services.list_category(get, "math.AG", "2020-01-01", "2020-01-10", most=5, enough=5))
+    assert len(some) == 6
+    assert len(asked) == 4  # the count, then three days
+    assert list(services.list_category(get, "math.AG", "2020-01-01", "2020-01-10", most=5, enough=5)) == some
+
+
+def test_blocks_and_tiles(spark):
+    papers = spark.createDataFrame([(1,), (2,)], "paper_id int")
+    subjects = spark.createDataFrame([(1, "math.AG"), (3, "x")], "preprint_folder int, subject string")
+    assert {tuple(r) for r in metrics.with_subjects(papers, subjects).collect()} == {(1, "math.AG"), (2, "")}
+    checked = spark.createDataFrame([("title_match",), ("title_match",), ("not_found",), ("error",)], "status string")
+    assert linking.doi_tile(checked).first().asDict() == {"n_checked": 4, "n_match": 2, "n_flagged": 1, "share_match": 0.5, "share_flagged": 0.25}
+    counts = report.paper_counts(spark.createDataFrame([("ai", ""), ("ai", "s"), ("human", "s")], "corpus string, subject string"))
+    table = spark.createDataFrame([(0, "m", "l", "k", 1.0, 1.0, 1.0, 0.0, 0.0, 0.0)], "place int, metric string, label string, kind string, ai_all double, ai double, human double, diff_mean double, low double, high double")
+    doc = json.loads(report.summary_json(table, {}, {"n_papers": counts}, checked.groupBy("status").count().withColumnRenamed("count", "n")).first().json)
+    assert doc["n_papers"] == {"ai_all": 2, "ai_matched": 1, "human": 1}
+    assert doc["ai_doi_check"] == {"error": 1, "not_found": 1, "title_match": 2}
+
+
+def test_a_broken_log_is_no_missing_log(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "part.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        ingest.resume(spark.range(4), f"file://{tmp_path}/log", "id", lambda d: d)
+
+
+def test_registries_are_asked_again_by_their_own_schedule():
+    waits, answers = [], iter([(500, b""), (429, b""), (0, b"")])
+    assert services.patient(lambda u: next(answers), 3, 0.25, waits.append, services.works_wait)("u") == (0, b"")
+    assert waits == [0.25, 5, 0.25, 60, 0.25]
