@@ -20,7 +20,18 @@ def distance(a: str, b: str) -> int:
     """Insertions, deletions, substitutions and transpositions of neighbours, without restriction, so the triangle inequality holds."""
     if a == b:
         return 0
+    # what both begin or end with costs nothing, and whatever is left has one character
     n, m = len(a), len(b)
+    least = min(n, m)
+    i = j = 0
+    while i < least and a[i] == b[i]:
+        i += 1
+    while j < least - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    if i or j:
+        a, b, n, m = a[i : n - j], b[i : m - j], n - i - j, m - i - j
+    if not n or not m or n == m == 1:
+        return max(n, m)
     far, seen = n + m, {}
     d = [[far] * (m + 2) for _ in range(n + 2)]
     for i in range(n + 1):

@@ -5,11 +5,12 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def title_parts(title: str | None) -> tuple[str, str, int, str]:
         main, full = main[m.group(0).count(" ") :], full[m.group(0).count(" ") :]
     part = 0
     for words in (full, main):
-        if len(words) > 2 and words[-1] in _PARTS and (words[-2] == "part" or words[-1].isalpha() and words[-1] != "x"):
+        if words and words[-1] in _PARTS and len(words) > 2 and (words[-2] == "part" or words[-1].isalpha() and words[-1] != "x"):
             part = _PARTS[words.pop()]
             if words[-1] == "part":
                 words.pop()
@@ -121,7 +122,7 @@ def _see_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def year_of(text: Column) -> Column:
     """The year a text begins with, null outside 1600 to 2030."""
-    y = F.try_to_number(F.substring(F.trim(text), 1, 4), F.lit("9999")).cast("int")
+    y = F.substring(F.trim(text), 1, 4).try_cast("int")
     return F.when(F.trim(text).rlike(r"^\d{4}") & y.between(1600, 2030), y)
 
 
@@ -135,15 +136,20 @@ def cited_units(citations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     doi = F.nullif(bare(F.regexp_extract(F.lower("normalized_id"), r"\bdoi\s*:\s*([^\s,;|]+)", 1)), F.lit(""))
     arxiv = F.nullif(bare(F.regexp_extract(F.lower("normalized_id"), r"\barxiv\s*:\s*([^\s,;|]+)", 1)), F.lit(""))
-    rows = citations.where(F.col("title").isNotNull() & (F.trim("title") != "")).select("title", "author", F.col("ref_id").cast("long").alias("id"), year_of(F.col("year")).alias("year"), F.nullif(F.trim("volume"), F.lit("")).alias("volume"), F.nullif(F.regexp_replace("pages", r"[^0-9A-Za-z]+", "-"), F.lit("")).alias("pages"), doi.alias("doi"), arxiv.alias("arxiv"))
-    both = citations.select(doi.alias("beside"), arxiv.alias("arxiv")).where("beside is not null and arxiv is not null").groupBy("arxiv").agg(F.min("beside").alias("beside"), F.count(F.lit(1)).alias("n"))
-    seen = rows.mapInArrow(_see, _seen_schema(rows)).where("full <> ''")
+    rows = citations.select("title", "author", F.col("ref_id").cast("long").alias("id"), year_of(F.col("year")).alias("year"), F.nullif(F.trim("volume"), F.lit("")).alias("volume"), F.nullif(F.regexp_replace("pages", r"[^0-9A-Za-z]+", "-"), F.lit("")).alias("pages"), doi.alias("doi"), arxiv.alias("arxiv"))
+    # a row without a title is no citation here, but its DOI may stand beside an arXiv id
+    blank = F.coalesce(F.trim("title") == "", F.lit(True))
+    rows = rows.where(~blank | (F.col("doi").isNotNull() & F.col("arxiv").isNotNull())).withColumns({"author": F.when(~blank, F.col("author")), "title": F.when(~blank, F.col("title"))})
+    seen = rows.mapInArrow(_see, _seen_schema(rows))
     loose = F.concat(F.lit("t:"), F.md5(F.concat_ws("\u0001", "full", F.col("part").cast("string"), "kind", F.coalesce(F.get("names", F.lit(0)), F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit("")), F.coalesce("volume", F.lit("")), F.coalesce("pages", F.lit("")))))
-    sure = F.col("doi").isNotNull() | F.col("arxiv").isNull()
     code = F.when(F.col("doi").isNotNull(), F.concat(F.lit("d:"), F.col("doi"))).when(F.col("arxiv").isNull(), loose)
-    rows = staged(seen.select("id", code.alias("unit"), F.when(~sure, F.col("arxiv")).alias("arxiv"), F.struct("main", "full", "part", "kind").alias("title"), "names", "year", "volume", "pages"), "cited")
+    both = F.col("doi").isNotNull() & F.col("arxiv").isNotNull()
+    alone = F.col("doi").isNull() & F.col("arxiv").isNotNull()
+    cited = staged(seen.where((F.col("full") != "") | both).select("id", code.alias("unit"), F.when(both, F.col("doi")).alias("beside"), F.when(both | alone, F.col("arxiv")).alias("arxiv"), F.struct("main", "full", "part", "kind").alias("title"), "names", "year", "volume", "pages"), "cited")
+    known = cited.where("beside is not null").groupBy("arxiv").agg(F.min("beside").alias("beside"))
+    rows = cited.where("title.full <> ''").drop("beside")
     # only rows with an arXiv id alone look for the DOI beside it
-    alone = rows.where("unit is null").join(both.drop("n"), "arxiv", "left").withColumn("unit", F.coalesce(F.concat(F.lit("d:"), F.col("beside")), F.concat(F.lit("a:"), F.col("arxiv")))).drop("beside")
+    alone = rows.where("unit is null").join(known, "arxiv", "left").withColumn("unit", F.coalesce(F.concat(F.lit("d:"), F.col("beside")), F.concat(F.lit("a:"), F.col("arxiv")))).drop("beside")
     rows = rows.where("unit is not null").unionByName(alone).drop("arxiv")
     units = rows.groupBy("unit").agg(*(F.mode(c, True).alias(c) for c in ("title", "names", "year", "volume", "pages")))
     return units.select("unit", "title.*", "names", "year", "volume", "pages"), rows.select("id", "unit")
@@ -178,78 +184,152 @@ def _alike(x: frozenset[str], y: frozenset[str]) -> bool:
     return least < 2 or 2 * len(x & y) >= least  # a single word may be misspelt where it begins
 
 
-def _slide(rows: Iterator[tuple[str, int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Pairs (registry key, unit key), by their hashes, within WINDOW distinct unit keys, from rows (key, hash, side, block) in order; with blocks 0 and 1 only pairs across them."""
-    units: deque[tuple[int, frozenset, int]] = deque(maxlen=WINDOW)
-    waiting: deque[tuple[int, frozenset, int, int]] = deque()
-    passed, mode = 0, ""
-    for key, code, side, block in rows:
-        if key[0] != mode:
-            mode = key[0]
-            units.clear()
-            waiting.clear()
-        words = _subject(key)
-        if side:
-            for u, seen, b in units:
-                if (block < 0 or b != block) and _alike(words, seen):
-                    yield code, u
-            waiting.append((code, words, passed, block))
+#: What a row brings to its keys: its number, the first and last year that go with it, and hashes of part with kind, volume and pages, -1 where it has none.
+_MARKS = ["lo", "hi", "part", "volume", "pages"]
+
+
+def _marks(first: Column, last: Column) -> list[Column]:
+    mark = lambda *c: F.hash(*c).bitwiseAND(2**31 - 1)  # noqa: E731 - other hashes, other values
+    one = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), mark(c)), F.lit(-1))
+    exprs = [F.coalesce(first, F.lit(-(2**31))), F.coalesce(last, F.lit(2**31 - 1)), mark("part", "kind"), one("volume"), one("pages")]
+    return [x.cast("int").alias(f"m_{c}") for c, x in zip(_MARKS, exprs)]
+
+
+def _product(r: np.ndarray, nr: np.ndarray, u: np.ndarray, nu: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows r ... r + nr - 1 with u ... u + nu - 1, about a million at a time."""
+    at, sizes = 0, nr * nu
+    ends = np.cumsum(sizes)
+    while at < len(r):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+        if to == at + 1 and sizes[at] > 1_000_000:  # one key of very many rows: row by row
+            for i in range(int(r[at]), int(r[at] + nr[at])):
+                us = np.arange(u[at], u[at] + nu[at])
+                yield np.full(len(us), i), us
         else:
-            while waiting and passed - waiting[0][2] >= WINDOW:
-                waiting.popleft()
-            for r, seen, _, b in waiting:
-                if (block < 0 or b != block) and _alike(seen, words):
-                    yield r, code
-            units.append((code, words, block))
-            passed += 1
+            n = sizes[at:to]
+            which = np.repeat(np.arange(at, to), n)
+            inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            yield r[which] + inner // nu[which], u[which] + inner % nu[which]
+        at = to
+
+
+def _starts(k: pa.Array, side: np.ndarray) -> np.ndarray:
+    """Where the runs of equal key and side begin."""
+    if not len(k):
+        return np.zeros(0, dtype=np.int64)
+    new = pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).to_numpy(zero_copy_only=False) | (side[1:] != side[:-1])
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _slide(rows: pa.RecordBatch, old: int, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (registry row, unit row), by their numbers, of ``rows`` (k, side, id, marks) in order whose keys have fewer than WINDOW distinct unit keys of the same order between them.
+
+    Only pairs of the first ``old`` rows with the others, and with ``inside``
+    those among the others. Pairs whose marks differ or whose titles are not
+    alike are left out.
+    """
+    k, side, code = rows.column(0), rows.column(1).to_numpy(), rows.column(2).to_numpy()
+    lo, hi, part, volume, pages = (rows.column(i).to_numpy() for i in range(3, 8))
+    start = _starts(k, side)
+    end = np.append(start[1:], len(k))[: len(start)]
+    keys = k.take(pa.array(start)).to_pylist()
+    order = np.array([ord(x[0]) for x in keys], dtype=np.int32)
+    units, regs = np.flatnonzero(side[start] == 0), np.flatnonzero(side[start] == 1)
+    before = np.searchsorted(units, regs)
+    near = []
+    for step in range(-WINDOW, WINDOW):
+        at = before + step
+        ok = (at >= 0) & (at < len(units))
+        r, u = regs[ok], units[at[ok]]
+        near.append((r, u))
+    r, u = (np.concatenate(x) for x in zip(*near))
+    ok = (order[r] == order[u]) & ((end[r] > old) | (end[u] > old))
+    r, u = r[ok], u[ok]
+    first = np.maximum(start, old)  # the new rows of each key
+    parts = [(start[r], np.minimum(end[r], old), first[u], end[u]), (first[r], end[r], start[u], end[u] if inside else np.minimum(end[u], old))]
+    found: list[tuple[np.ndarray, ...]] = []
+    for r0, r1, u0, u1 in parts:
+        some = np.flatnonzero((r1 > r0) & (u1 > u0))
+        for x, y in _product(r0[some], (r1 - r0)[some], u0[some], (u1 - u0)[some]):
+            ok = (lo[x] <= hi[y]) & (lo[y] <= hi[x]) & (part[x] == part[y])
+            for m in (volume, pages):
+                ok &= (m[x] == m[y]) | (m[x] < 0) | (m[y] < 0)
+            found.append((x[ok], y[ok]))
+    if not found:
+        return code[:0], code[:0]
+    x, y = (np.concatenate(f) for f in zip(*found))
+    # titles are compared once for each two keys
+    kx, ky = np.searchsorted(start, x, "right") - 1, np.searchsorted(start, y, "right") - 1
+    both, which = np.unique(kx * len(keys) + ky, return_inverse=True)
+    a, b = (both // len(keys)).tolist(), (both % len(keys)).tolist()
+    words = {i: _subject(keys[i]) for i in {*a, *b}}
+    ok = np.fromiter((_alike(words[i], words[j]) for i, j in zip(a, b)), dtype=bool, count=len(a))[which]
+    return code[x[ok]], code[y[ok]]
+
+
+_KEYS = ["k", "side", "id", *(f"m_{c}" for c in _MARKS)]
+_SLID = "a long, b long, edge long, block long, k string, side int, id long, " + ", ".join(f"m_{c} int" for c in _MARKS)
+_KINDS = [pa.string(), pa.int32(), pa.int64(), *[pa.int32()] * len(_MARKS)]
+
+
+def _slid(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = pa.array(np.full(len(a), -1), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none, *(pa.nulls(len(a), t) for t in _KINDS)], ["a", "b", "edge", "block", *_KEYS])
+
+
+def _handed(rows: pa.RecordBatch, edge: int, block: int) -> pa.RecordBatch:
+    """The rows that a range hands to a neighbour."""
+    n = rows.num_rows
+    return pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(2)), *(pa.array(np.full(n, x), pa.int64()) for x in (edge, block)), *rows.columns], ["a", "b", "edge", "block", *_KEYS])
 
 
 def window_pairs(keys: DataFrame, size: int) -> DataFrame:
-    """(reg_code, unit_code): hashes of distinct keys near each other in their order, compared cheaply.
+    """(reg_id, number): rows with keys near each other in their order, compared cheaply.
 
-    ``keys`` has k, code and side (0 unit, 1 registry) and about ``size`` rows.
+    ``keys`` has ``_KEYS``, a row for each key of each unit (side 0) and record (side 1), and about ``size`` rows.
     The order is cut into ranges; a range hands the rows within a window of its ends to its neighbours.
     """
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId()
-        head: list[tuple] = []
-        tail: deque[tuple] = deque()
-        met, kept = 0, 0
-
-        def all_rows() -> Iterator[tuple[str, int, int, int]]:
-            nonlocal met, kept
-            for pdf in pdfs:
-                for row in zip(pdf["k"], pdf["code"], pdf["side"]):
-                    if met < WINDOW:
-                        head.append(row)
-                        met += row[2] == 0
-                    tail.append(row)
-                    kept += row[2] == 0
-                    while kept > WINDOW:
-                        kept -= tail.popleft()[2] == 0
-                    yield *row, -1
-
-        none = {"k": None, "edge": -1, "block": -1}
-        pairs: list[tuple[int, int]] = []
-        for p in _slide(all_rows()):
-            pairs.append(p)
-            if len(pairs) >= 20_000:
-                yield pd.DataFrame(pairs, columns=["a", "b"]).assign(**none)
-                pairs = []
-        yield pd.DataFrame(pairs, columns=["a", "b"]).assign(**none)
-        for rows, edge, block in ((head, at, 1), (list(tail), at + 1, 0)):
-            yield pd.DataFrame({"a": [r[1] for r in rows], "b": [r[2] for r in rows], "k": [r[0] for r in rows], "edge": edge, "block": block})
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "k", "b"])
-        return pd.DataFrame(list(_slide(zip(pdf["k"], pdf["a"], pdf["b"], pdf["block"]))), columns=["a", "b"])
+        tail: pa.RecordBatch | None = None
+        met, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if met <= WINDOW:  # the head ends before the unit key that follows the WINDOW-th
+                side = batch.column(1).to_numpy()
+                start = _starts(batch.column(0), side)
+                start = start[side[start] == 0]
+                names = batch.column(0).take(pa.array(start)).to_pylist()
+                start = start[1:] if names and names[0] == last else start
+                last = names[-1] if names else last
+                full = met + len(start) > WINDOW
+                yield _handed(batch.slice(0, int(start[WINDOW - met])) if full else batch, at, 1)
+                met += len(start)
+            old = tail.num_rows if tail is not None else 0
+            rows = pa.concat_batches([tail, batch]) if old else batch
+            yield _slid(*_slide(rows, old, True))
+            side = rows.column(1).to_numpy()
+            start = _starts(rows.column(0), side)
+            units = np.flatnonzero(side[start] == 0)  # the tail begins behind the last unit key that no later row can reach
+            cut = int(units[-WINDOW - 1]) + 1 if len(units) > WINDOW else 0
+            tail = rows.slice(int(start[cut]) if cut else 0)
+        if tail is not None:
+            yield _handed(tail, at + 1, 0)
+
+    def across(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("block", "k", "side")])
+        old = pc.sum(pc.equal(table["block"], 0)).as_py() or 0
+        rows = pa.RecordBatch.from_arrays([table[c].combine_chunks() for c in _KEYS], _KEYS)
+        r, u = _slide(rows, old, False)
+        return pa.table({"a": pa.array(r, pa.int64()), "b": pa.array(u, pa.int64())})
 
     n = max(2, keys.sparkSession.sparkContext.defaultParallelism, size // 200_000)
-    out = staged(keys.repartitionByRange(n, "k", "side").sortWithinPartitions("k", "side").mapInPandas(run, "a long, b long, k string, edge long, block long"), "slid")
+    out = staged(keys.select(*_KEYS).repartitionByRange(n, "k", "side").sortWithinPartitions("k", "side").mapInArrow(run, _SLID), "slid")
     inside = out.where("edge < 0").select("a", "b")
-    edges = out.where("edge >= 0").groupBy("edge").applyInPandas(across, "a long, b long")
-    return inside.unionByName(edges).select(F.col("a").alias("reg_code"), F.col("b").alias("unit_code"))
+    edges = out.where("edge >= 0").groupBy("edge").applyInArrow(across, "a long, b long")
+    return inside.unionByName(edges).select(F.col("a").alias("reg_id"), F.col("b").alias("number"))
 
 
 @F.arrow_udf(T.DoubleType())
@@ -276,11 +356,12 @@ def _name_likeness(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
+@lru_cache(maxsize=200_000)
 def _one_word(a: str, b: str) -> bool:
     """Whether two words are one: equal, misspelt, or one shortened."""
     if a == b:
         return True
-    short, long = sorted((a, b), key=len)
+    short, long = (b, a) if len(b) < len(a) else (a, b)
     if short[0] == long[0] and len(short) >= 3 and len(long) >= len(short) + 3:  # perms, proj, cpctness
         rest = iter(long)
         return all(c in rest for c in (short[:-1] if short[-1] == "s" else short))
@@ -312,7 +393,7 @@ def title_likeness(a: str, b: str) -> float:
     if len(x) > 5 and 2 * len(lone) > len(x) + 2:
         return 0.0
     for w in lone:
-        twin = next((v for v in free if w not in _LIGHT and v not in _LIGHT and _one_word(w, v)), None)
+        twin = None if w in _LIGHT else next((v for v in free if v not in _LIGHT and _one_word(w, v)), None)
         if twin is None:
             left.append(w)
         else:
@@ -365,12 +446,6 @@ def scored(pairs: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.round(total / weight, 4))
 
 
-def _short(side: str) -> list[Column]:
-    """The attributes of a unit (u) or record (r) that rule a pair out, as numbers."""
-    number = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(f"{side}_{c}")
-    return [number(c) for c in ("part", "kind", "volume", "pages")] + [F.col("years" if side == "r" else "year").alias("r_years" if side == "r" else "u_year")]
-
-
 def record_works(good: DataFrame, regs: DataFrame) -> DataFrame:
     """(reg_id, work): records of one work, which match a common unit and each other, under the smallest reg_id among them; others are works of their own.
 
@@ -395,14 +470,11 @@ def match_units(citations: DataFrame, registry: DataFrame) -> tuple[DataFrame, D
     # pairs are two numbers; a unit's number may stand for two units, which are then both compared
     number = F.xxhash64("unit").alias("number")
     units, regs = staged(units.withColumn("number", number), "units"), staged(registry_units(registry), "regs")
-    code = F.xxhash64("k")  # it only finds candidates; whether they match is seen from the attributes
-    ukeys = units.select("number", *_short("u"), F.explode(sort_keys(F.when(F.col("year").isNotNull(), F.array("year")).otherwise(F.array().cast("array<int>")))).alias("k"))
-    rkeys = regs.select("reg_id", *_short("r"), F.explode(sort_keys(F.col("years"))).alias("k"))
-    keys = ukeys.select("k", F.lit(0).alias("side")).unionByName(rkeys.select("k", F.lit(1).alias("side"))).distinct().withColumn("code", code)
-    near = window_pairs(keys, 5 * (units.count() + regs.count()))
-    # the short attributes come with the keys and rule most pairs out before titles and names are joined
-    pairs = near.join(rkeys.withColumn("reg_code", code).drop("k"), "reg_code").join(ukeys.withColumn("unit_code", code).drop("k"), "unit_code")
-    pairs = without_conflict(pairs).select("reg_id", "number").distinct()
+    # years up to two apart may be those of one work
+    ukeys = units.select(F.col("number").alias("id"), *_marks(F.col("year") - 2, F.col("year") + 2), F.explode(sort_keys(F.when(F.col("year").isNotNull(), F.array("year")).otherwise(F.array().cast("array<int>")))).alias("k"), F.lit(0).alias("side"))
+    rkeys = regs.select(F.col("reg_id").alias("id"), *_marks(F.array_min("years"), F.array_max("years")), F.explode(sort_keys(F.col("years"))).alias("k"), F.lit(1).alias("side"))
+    # the marks come with the keys and rule most pairs out before titles and names are joined
+    pairs = window_pairs(ukeys.unionByName(rkeys), 5 * (units.count() + regs.count())).distinct()
     attributes = ("main", "full", "names", "part", "kind", "volume", "pages")
     pairs = pairs.join(regs.select("reg_id", *(F.col(c).alias(f"r_{c}") for c in (*attributes, "years"))), "reg_id").join(units.select("unit", "number", *(F.col(c).alias(f"u_{c}") for c in (*attributes, "year"))), "number")
     good = staged(scored(without_conflict(pairs)).where(F.col("confidence") >= LEAST).select("unit", "reg_id", "confidence"), "scored")

@@ -137,3 +137,36 @@ def test_works_match(spark):
     assert {(x.ref_id, x.reg_id) for x in got} == {(i, j) for i in (1, 2, 3) for j in (1, 3)}
     assert all(0.78 <= x.confidence <= 1 for x in got)
     assert entity_match.matches(c.limit(0), r).count() == entity_match.matches(c, r.limit(0)).count() == 0
+
+
+def test_windows_of_rows(spark):
+    # rows of equal keys, keys of other orders between them, ranges cut anywhere; rows of other years, parts, volumes or pages are left out
+    random.seed(7)
+    rows = [(f"{random.choice('12')}|w{random.randrange(300):03d}", random.randrange(2), i, y, y, random.randrange(2), random.choice([-1, 1, 2]), random.choice([-1, 3])) for i in range(900) for y in [random.choice([1990, 1991])]]
+    df = spark.createDataFrame(rows, "k string, side int, id long, m_lo int, m_hi int, m_part int, m_volume int, m_pages int")
+    got = [tuple(r) for r in entity_match.window_pairs(df, len(rows)).collect()]
+    want = set()
+    for k, side, i, *m in rows:
+        keys = sorted({x[0] for x in rows if x[1] == 0 and x[0][0] == k[0]})
+        at = sum(x <= k for x in keys)
+        near = set(keys[max(0, at - entity_match.WINDOW) : at + entity_match.WINDOW])
+        want |= {(i, x[2]) for x in rows if side == 1 and x[1] == 0 and x[0] in near and x[3] == m[0] and x[5] == m[2] and (x[6] == m[3] or -1 in (x[6], m[3]))}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_citations_are_read_once(spark, tmp_path):
+    rows = [(1, "On big groups", "Ann One", "2001", "7", "1-9", "doi:10.1/x arxiv:9.9"), (2, "Big groups", None, None, None, None, "arxiv:9.9"), (3, None, None, None, None, None, "doi:10.1/y arxiv:8.8"), (4, "On tall towers", None, None, None, None, "arxiv:8.8"), (5, " ", None, None, None, None, None)]
+    spark.createDataFrame(rows, "ref_id long, title string, author string, year string, volume string, pages string, normalized_id string").write.parquet(f"{tmp_path}/c")
+    units, found = entity_match.cited_units(spark.read.parquet(f"{tmp_path}/c"))
+    assert {tuple(r) for r in found.collect()} == {(1, "d:101x"), (2, "d:101x"), (4, "d:101y")}
+    assert {r.unit for r in units.collect()} == {"d:101x", "d:101y"}
+    assert not any(str(tmp_path) in f for f in [*found.inputFiles(), *units.inputFiles()])
+
+
+def test_metric_without_common_ends():
+    random.seed(8)
+    for _ in range(300):
+        a, b = ("".join(random.choices("ab", k=random.randrange(0, 5))) for _ in range(2))
+        x, y = ("".join(random.choices("ab", k=random.randrange(0, 2))) for _ in range(2))
+        assert distance(x + a + y, x + b + y) == _recursive(x + a + y, x + b + y)
+    assert distance("a" * 20_000 + "bc", "a" * 20_000 + "cb") == 1
