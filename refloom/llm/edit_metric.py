@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,22 +91,25 @@ def choose_pivots(sample: list[str], most: int) -> list[str]:
     return pivots
 
 
-def deletions(key: str, radius: int) -> set[str]:
-    """The key with up to ``radius`` characters left out. Keys within the radius of each other share one of these."""
-    out, new = {key}, {key}
+def deletion_forms(key: str, radius: int) -> Column:
+    """The key with up to ``radius`` characters left out, each form once. Keys within the radius of each other share one of these."""
+    shorter = lambda k: F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k))))
+    forms = new = F.array(F.col(key))
     for _ in range(radius):
-        new = {k[:i] + k[i + 1 :] for k in new for i in range(len(k))}
-        out |= new
-    return out
+        new = F.array_distinct(F.flatten(F.transform(new, lambda k: F.when(F.length(k) > 0, shorter(k)).otherwise(F.array().cast("array<string>")))))
+        forms = F.array_union(forms, new)
+    return forms
 
 
 def radius_join(keys: DataFrame, key: str, radius: int = 1) -> DataFrame:
     """(a, b): every two distinct keys, a < b, within ``radius`` of each other under :func:`distance`.
 
-    Each key belongs to the cell of its nearest pivot. It is replicated to every
-    other cell whose pivot is at most 2 * ``radius`` farther than its own: by the
-    triangle inequality a key at distance r of a home key of cell i can be no
-    farther than that from pivot i. Distances between short names are much
+    Each key belongs to the cell of its nearest pivot, the first of equally near
+    ones. Of two keys with other cells, i < j, the one of cell i is replicated to
+    cell j, so a pair meets in one cell only. Whatever is within r of a key of
+    cell j, which is nearer to pivot j than to pivot i, is by the triangle
+    inequality at most 2 * r - 1 farther from pivot j than from pivot i; farther
+    keys are not replicated. Distances between short names are much
     alike, so more pivots mean more replicas; there are at most ``MOST_PIVOTS``,
     whatever the number of keys. A cell is no unit of work: inside it, home keys
     are joined in the shuffle with the keys that share a deletion form, of
@@ -122,23 +125,17 @@ def radius_join(keys: DataFrame, key: str, radius: int = 1) -> DataFrame:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                own = batch.column(0).slice(at, 4096).to_pylist()
-                if len(pivots) > 1:
-                    d = np.stack([distances(own, p) for p in pivots])
-                    home = d.argmin(axis=0)
-                    cell, who = np.nonzero(d - d.min(axis=0) <= 2 * radius)
-                else:
-                    home, who = np.zeros(len(own), dtype=int), np.arange(len(own))
-                    cell = who * 0
-                forms = [sorted(deletions(k, radius)) for k in own]
-                sizes = np.array([len(f) for f in forms])[who]
-                rows = np.repeat(np.arange(len(who)), sizes)
-                flat = [f for w in who for f in forms[w]]
-                yield pa.RecordBatch.from_arrays([pa.array(cell[rows].astype(np.int32)), pa.array(flat, pa.string()), pa.array([own[w] for w in who[rows]], pa.string()), pa.array((home[who] == cell)[rows])], ["cell", "form", "key", "home"])
-
-    forms = distinct.mapInArrow(assign, "cell int, form string, key string, home boolean").select("cell", F.xxhash64("form").alias("form"), "key", "home")
+                own = batch.column(0).slice(at, 4096)
+                d = np.stack([distances(own.to_pylist(), p) for p in pivots])
+                home = d.argmin(axis=0)
+                later = np.arange(len(pivots))[:, None] > home
+                cell, who = np.nonzero((later & (d - d.min(axis=0) <= 2 * radius - 1)) | (np.arange(len(pivots))[:, None] == home))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), own.take(pa.array(who)), pa.array(home[who] == cell)], ["cell", "key", "home"])
+
+    cells = staged(distinct.mapInArrow(assign, "cell int, key string, home boolean"), "cells") if len(pivots) > 1 else distinct.select(F.lit(0).alias("cell"), "key", F.lit(True).alias("home"))
+    forms = cells.select("cell", F.explode(deletion_forms("key", radius)).alias("form"), "key", "home").withColumn("form", F.xxhash64("form"))
     mine = forms.where("home").select("cell", "form", F.col("key").alias("x"))
-    pairs = mine.join(forms.select("cell", "form", F.col("key").alias("y")).hint("merge"), ["cell", "form"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = mine.join(forms.select("cell", "form", F.col("key").alias("y"), "home").hint("merge"), ["cell", "form"]).where("x < y or (not home and x <> y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.where(within(F.col("a"), F.col("b"), F.lit(radius)))
 
 

@@ -35,11 +35,15 @@ _LINKS = {"of", "for", "on", "at", "and"}
 
 # Letters that no accent separates.
 _WHOLE = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "ı": "i", "æ": "ae"})
+_CLEAN = re.compile(r"[A-Za-z0-9.,]+(?: [A-Za-z0-9.,]+)*")
+_WORDS, _NO_WORD, _POINT = re.compile(r"\w+"), re.compile(r"\W+"), re.compile(r"\.(?=\w)")
 _GAPS, _OTHER = re.compile(r"[\s_-]+"), re.compile(r"[^\w,. ]+")
 
 
 def folded(name: str) -> str:
     """``name`` in lower case without accents, look-alikes and anything that is neither letter, digit, comma, point nor space."""
+    if _CLEAN.fullmatch(name):
+        return name
     text = name
     if not name.isascii():
         text = unicodedata.normalize("NFKD", plain(name).translate(_WHOLE))
@@ -65,7 +69,7 @@ def parse(name: str) -> tuple[bool, str, str, str, bool]:
     """
     text = folded(name)
     lower = text.lower()
-    words = re.findall(r"\w+", lower)
+    words = _WORDS.findall(lower)
     if len(words) >= 5 or (set(words[1:-1]) & _LINKS):
         whole = " ".join(ORG_WORDS.get(w, w) for w in words)
         return True, whole[4:] if whole.startswith("the ") else whole, "", "", True
@@ -77,11 +81,11 @@ def parse(name: str) -> tuple[bool, str, str, str, bool]:
         rest = "".join(m[0] or m[1][:1] for m in marks[1:])
         if marks and marks[0][0]:
             first, rest = first[:1], first[1:] + rest
-        return False, re.sub(r"[^\w]+", "", family.lower()), first, rest, True
-    parts = [p for p in re.sub(r"\.(?=\w)", ". ", text).split()]
-    marks = [(_initials(p.lower(), p, len(parts) - 1), re.sub(r"\W", "", p.lower())) for p in parts]
+        return False, _NO_WORD.sub("", family.lower()), first, rest, True
+    parts = _POINT.sub(". ", text).split()
+    marks = [(_initials(p.lower(), p, len(parts) - 1), _NO_WORD.sub("", p.lower())) for p in parts]
     if not marks:
-        return False, re.sub(r"\W", "", lower), "", "", True
+        return False, _NO_WORD.sub("", lower), "", "", True
     if len(marks) == 1:
         return False, marks[0][1], "", "", True
     full = [m for m in marks if not m[0]]
@@ -156,9 +160,10 @@ def name_entities(names: DataFrame) -> DataFrame:
        has them, one without given name to the family's most frequent person.
     """
     parsed = staged(names.select("name", "n").mapInArrow(_parse_all, "name string, org boolean, family string, given string, rest string, sure boolean, n long"), "parsed")
-    people = staged(_oriented(parsed.where("not org and family <> ''")).unionByName(parsed.where("org and family <> ''")), "people")
+    people = _oriented(parsed.where("not org and family <> ''")).unionByName(parsed.where("org and family <> ''"))
     full_form = F.create_map(*[F.lit(x) for kv in _FULL.items() for x in kv])
     people = people.withColumn("formal", F.coalesce(F.try_element_at(full_form, F.col("given")), F.col("given"))).withColumn("kin", F.concat(F.when(F.col("org"), "o:").otherwise("p:"), F.when(F.col("org"), F.col("family")).otherwise(F.replace("family", F.lit("ph"), F.lit("f")))))
+    people = staged(people, "people")
 
     # 1: families, ph written as f; people and organisations apart
     kin = staged(people.groupBy("kin").agg(F.sum("n").alias("w"), F.collect_set(F.substring("formal", 1, 1)).alias("letters")), "kin")

@@ -20,34 +20,39 @@ _SUMS = "source string, kind string, shape string, cand string, n long, pieces d
 _VALUES = "tab string, row_id long, pos long, val string"
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (source, kind, field): for each source, shape and candidate the sums that its score is made of.
+def _score(least: int):
+    """Batches of (source, kind, field): for each source, shape and candidate the sums that its score is made of, of fields with ``least`` candidates or more.
 
     The candidate '' counts the fields of the source.
     """
     kinds = [pa.string()] * 4 + [pa.int64()] + [pa.float64()] * 3
     names = [c.split()[0] for c in _SUMS.split(", ")]
-    known: dict[tuple, tuple] = {}
-    for batch in batches:
-        sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0.0, 0.0, 0.0])
-        if len(known) > 100_000:
-            known = {}
-        for source, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
-            seen = known.get((kind, text))
-            if seen is None:
-                field = Field(text, kind)
-                cuts = ((name_of(c), field.cut(c)) for c in field.combos())
-                seen = known[kind, text] = (field.shape, [(n, len(pieces), regular) for n, (pieces, regular) in cuts])
-            shape, cands = seen
-            sums[source, kind, "", ""][0] += 1
-            for cand, n, regular in cands:
-                s = sums[source, kind, shape, cand]
-                s[0] += 1
-                s[1] += n
-                s[2] += n * n
-                s[3] += regular
-        rows = [(*k, *v) for k, v in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
+        for batch in batches:
+            sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0.0, 0.0, 0.0])
+            if len(known) > 100_000:
+                known = {}
+            for source, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
+                seen = known.get((kind, text))
+                if seen is None:
+                    field = Field(text, kind)
+                    combos = field.combos()
+                    cuts = ((name_of(c), field.cut(c)) for c in combos) if len(combos) >= least else ()
+                    seen = known[kind, text] = (field.shape, [(n, len(pieces), regular) for n, (pieces, regular) in cuts])
+                shape, cands = seen
+                sums[source, kind, "", ""][0] += 1
+                for cand, n, regular in cands:
+                    s = sums[source, kind, shape, cand]
+                    s[0] += 1
+                    s[1] += n
+                    s[2] += n * n
+                    s[3] += regular
+            rows = [(*k, *v) for k, v in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    return run
 
 
 def _split(least: int):
@@ -76,7 +81,7 @@ def _split(least: int):
     return run
 
 
-def delimiter_scores(fields: DataFrame) -> DataFrame:
+def delimiter_scores(fields: DataFrame, least: int = 1) -> DataFrame:
     """(source, kind, shape, cand, n, score) of ``fields`` (source, kind, field): how well each candidate explains the fields of a source and shape.
 
     A candidate is a delimiter or several together, a shape the set of
@@ -85,9 +90,10 @@ def delimiter_scores(fields: DataFrame) -> DataFrame:
     for the consistency of the piece count (from 3/4 to 1, by its coefficient of
     variation). Both are those of the source's fields and, as far as these are
     few, of all fields of the shape. The sums are formed within each batch before
-    they are shuffled; there are as many shapes as sets of delimiters.
+    they are shuffled; there are as many shapes as sets of delimiters. Fields
+    with fewer than ``least`` candidates are counted, but not cut and scored.
     """
-    sums = fields.select("source", "kind", "field").mapInArrow(_score, _SUMS)
+    sums = fields.select("source", "kind", "field").mapInArrow(_score(least), _SUMS)
     parts = ["n", "pieces", "squares", "regular"]
     own = sums.groupBy("source", "kind", "shape", "cand").agg(*(F.sum(c).alias(c) for c in parts))
     everywhere = own.groupBy("kind", "shape", "cand").agg(*(F.sum(c).alias(f"all_{c}") for c in parts))
@@ -114,7 +120,8 @@ def split_fields(rows: DataFrame, least: int) -> DataFrame:
     """(tab, row_id, pos, val) of ``rows`` (tab, row_id, source, kind, field), for fields that hold ``least`` or more values; see :func:`split_packed`."""
     holds = F.when(F.col("kind") == "name", F.col("field").rlike(PACKED["name"])).otherwise(F.col("field").rlike(PACKED["code"]))
     packed = rows.where(F.col("field").isNotNull() & holds).select("tab", "row_id", "kind", "field", F.concat_ws("\u0001", "tab", "source").alias("source"))
-    orders = staged(source_orders(delimiter_scores(packed)), "orders")
+    # where there is only one candidate, its score decides nothing
+    orders = staged(source_orders(delimiter_scores(packed, 2)), "orders")
     total = orders.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     joined = skew_join(packed, orders.drop("kind"), ["source"], "size", total, "left")
     out = joined.select("tab", "row_id", "kind", "field", "orders").mapInArrow(_split(least), _VALUES)

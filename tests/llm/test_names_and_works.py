@@ -170,3 +170,19 @@ def test_metric_without_common_ends():
         x, y = ("".join(random.choices("ab", k=random.randrange(0, 2))) for _ in range(2))
         assert distance(x + a + y, x + b + y) == _recursive(x + a + y, x + b + y)
     assert distance("a" * 20_000 + "bc", "a" * 20_000 + "cb") == 1
+
+
+def test_each_pair_meets_in_one_cell(spark, monkeypatch):
+    monkeypatch.setattr(edit_metric, "PER_PIVOT", 40)
+    random.seed(9)
+    words = list({"".join(random.choices("abcd", k=random.randrange(0, 9))) for _ in range(400)})
+    df = spark.createDataFrame([(w,) for w in words], "k string")
+    written = {}
+    staged = edit_metric.staged
+    monkeypatch.setattr(edit_metric, "staged", lambda d, name: written.setdefault(name, staged(d, name)))
+    got = {tuple(r) for r in edit_metric.radius_join(df, "k", 1).collect()}
+    assert got == {(a, b) for a in words for b in words if a < b and distance(a, b) <= 1}
+    cells = written["cells"].collect()
+    home = {r.key: r.cell for r in cells if r.home}
+    assert len(home) == len(words) and len(set(home.values())) > 1
+    assert all(r.cell > home[r.key] for r in cells if not r.home)  # never to an earlier cell

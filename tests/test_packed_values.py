@@ -60,3 +60,12 @@ def test_many_quoted_parts_and_hot_sources(spark, monkeypatch):
     monkeypatch.setattr(packed_values, "skew_join", lambda *a: session.skew_join(*a, least=2))
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"s{i}", f"A. One; B. Two{i}") for i in range(60)], "id long, s string, a string")
     assert {(r.row_id, r.pos, r.val) for r in split_multi(df, "id", "a", "s").collect()} == {x for i in range(60) for x in ((i, 1, "A. One"), (i, 2, f"B. Two{i}"))}
+
+
+def test_only_choices_are_scored(spark):
+    rows = [(1, "a", "A. One; B. Two"), (2, "a", "A. One, B. Two"), (3, "a", "One, A.; Two, B."), (4, "b", "A. One and B. Two"), (5, "a", "A. One")]
+    fields = spark.createDataFrame([(s, "name", f) for _, s, f in rows], "source string, kind string, field string")
+    every, some = ({(r.source, r.shape, r.cand): (r.n, r.score) for r in delimiter_scores(fields, least).collect()} for least in (1, 2))
+    assert some == {k: v for k, v in every.items() if k[2] == "" or "+" in k[1]} and len(some) < len(every)
+    got = {(r.row_id, r.pos, r.val) for r in split_packed(spark.createDataFrame(rows, "ref_id long, src string, author string"), "ref_id", "author", "src").collect()}
+    assert got == {(1, 1, "A. One"), (1, 2, "B. Two"), (2, 1, "A. One"), (2, 2, "B. Two"), (3, 1, "One, A."), (3, 2, "Two, B."), (4, 1, "A. One"), (4, 2, "B. Two"), (5, 1, "A. One")}
