@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from refloom.functions.packed import plain
 from refloom.llm.class_pairs import class_join
 from refloom.llm.edit_metric import radius_join, to_roots
-from refloom.operators.packed_values import split_packed
+from refloom.operators.packed_values import value_counts
 from refloom.session import skew_join, staged
 
 # Given names and their usual short forms.
@@ -116,10 +116,10 @@ _USUAL = sorted({*SHORT_FORMS, *_FULL})
 
 def spellings(citations: DataFrame, flags: DataFrame) -> DataFrame:
     """(name, n): the distinct non-empty names, and how often each is written."""
-    split = split_packed(citations, "ref_id", "author", "preprint_folder").select(F.col("val").alias("name"))
+    split = value_counts(citations, "author", "preprint_folder").withColumnRenamed("val", "name")
     for c in ("first_author_cited", "first_author_registered"):
-        split = split.unionByName(flags.select(F.regexp_replace(c, r"(?U)^\s+|\s+$", "").alias("name")))
-    return split.where("name is not null and name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        split = split.unionByName(flags.select(F.regexp_replace(c, r"(?U)^\s+|\s+$", "").alias("name"), F.lit(1).cast("long").alias("n")))
+    return split.where("name is not null and name <> ''").groupBy("name").agg(F.sum("n").alias("n"))
 
 
 def _oriented(people: DataFrame) -> DataFrame:
@@ -218,6 +218,6 @@ def variant_pairs(citations: DataFrame, flags: DataFrame) -> DataFrame:
     Null and blank names and those without a letter or digit are no spelling; a
     spelling counts once however often it is written. See :func:`name_entities`.
     """
-    entities = staged(name_entities(staged(spellings(citations, flags), "names")), "entities")
+    entities = staged(name_entities(spellings(citations, flags)), "entities")
     b = entities.select("entity", F.col("name").alias("name_b"))
     return class_join(entities.withColumnRenamed("name", "name_a"), b, ["entity"], "name_a", "name_b").where("name_a < name_b").select("name_a", "name_b")

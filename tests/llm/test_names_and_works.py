@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from refloom.llm import assignment, edit_metric, entity_match, name_variants
@@ -186,3 +187,23 @@ def test_each_pair_meets_in_one_cell(spark, monkeypatch):
     home = {r.key: r.cell for r in cells if r.home}
     assert len(home) == len(words) and len(set(home.values())) > 1
     assert all(r.cell > home[r.key] for r in cells if not r.home)  # never to an earlier cell
+
+
+def test_hashed_deletion_forms_are_those_of_the_texts():
+    keys = ["", "a", "ab", "aab", "abab", "ba", "xaab", "bbb", "\U0001f600b", "é"]
+    for radius in (0, 1, 2):
+        who, hashes = edit_metric.deletion_forms(keys, radius)
+        forms = lambda k: {k} if radius == 0 else {k[:i] + k[i + 1 :] for i in range(len(k))} | {k}
+        of = [set(forms(k)) if radius < 2 else {f for g in forms(k) for f in forms(g)} for k in keys]
+        got = [set(hashes[who == i].tolist()) for i in range(len(keys))]
+        assert [len(g) for g in got] == [len(f) for f in of]
+        assert all(len(got[i] & got[j]) == len(of[i] & of[j]) for i in range(len(keys)) for j in range(len(keys)))
+
+
+def test_pairs_of_a_form_that_goes_on_in_the_next_batch():
+    words = ["ab", "ac", "ad", "zz", "ae", "q", "qr"]
+    forms = [1, 1, 1, 1, 1, 2, 3]
+    home = [False, True, False, True, False, True, True]
+    batches = [pa.RecordBatch.from_pydict({"form": pa.array(forms[i : i + k], pa.int64()), "key": words[i : i + k], "home": home[i : i + k]}) for i, k in ((0, 2), (2, 0), (2, 1), (3, 3), (6, 1))]
+    got = [p for b in edit_metric._near(1)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(got) == [("ab", "ac"), ("ac", "ad"), ("ac", "ae")]

@@ -1,9 +1,12 @@
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 
 from refloom import session
 from refloom.functions.packed import first_value, values
 from refloom.operators import packed_values
-from refloom.operators.packed_values import delimiter_scores, split_multi, split_packed
+from refloom.operators.packed_values import delimiter_scores, split_multi, split_packed, value_counts
 
 NAMES = [
     ("A. One; B. Two", ["A. One", "B. Two"]), ("One, A., Two, B. C.", ["One, A.", "Two, B. C."]), ("One, Ann and Two, Bob", ["One, Ann", "Two, Bob"]), ("One, Ann", ["One, Ann"]), ("A. One, B. Two & C. Three", ["A. One", "B. Two", "C. Three"]),
@@ -69,3 +72,29 @@ def test_only_choices_are_scored(spark):
     assert some == {k: v for k, v in every.items() if k[2] == "" or "+" in k[1]} and len(some) < len(every)
     got = {(r.row_id, r.pos, r.val) for r in split_packed(spark.createDataFrame(rows, "ref_id long, src string, author string"), "ref_id", "author", "src").collect()}
     assert got == {(1, 1, "A. One"), (1, 2, "B. Two"), (2, 1, "A. One"), (2, 2, "B. Two"), (3, 1, "One, A."), (3, 2, "Two, B."), (4, 1, "A. One"), (4, 2, "B. Two"), (5, 1, "A. One")}
+
+
+def test_values_counted_in_one_pass_are_those_of_the_split(spark, monkeypatch):
+    odd = "x one; w two and z three"  # its source decides
+    rows = [(i, "bodies", "Group of A and B; C. Dee") for i in range(20)] + [(i, "mixed", "A. One; B. Two and C. Three") for i in range(20)] + [(98, "bodies", odd), (99, "mixed", odd), (99, "mixed", odd)]
+    rows += [(i, "f", field) for i, (field, _) in enumerate(NAMES, 200)] + [(300, None, odd), (301, "f", None), (302, None, "One, Ann")]
+    df = spark.createDataFrame(rows, "ref_id long, s string, a string").repartition(3)
+    want = Counter(r.val for r in split_packed(df, "ref_id", "a", "s").collect())
+    assert {"w two and z three", "w two", "z three"} <= set(want)
+    got = Counter()
+    for r in value_counts(df, "a", "s").collect():
+        got[r.val] += r.n
+    assert got == want
+    assert value_counts(df.limit(0), "a", "s").count() == 0
+    # a field is cut once, for its scores and its values
+    reads, field = [], packed_values.Field
+    monkeypatch.setattr(packed_values, "Field", lambda text, kind: reads.append(text) or field(text, kind))
+    batch = pa.RecordBatch.from_pydict({"source": ["s"] * 3, "field": ["A. One; B. Two, C. Three", odd, odd]})
+    (out,) = packed_values._cut("name")(iter([batch]))
+    assert reads == ["A. One; B. Two, C. Three", odd]
+    assert [(r["part"], r["val"], r["n"]) for r in out.to_pylist()] == [("value", "A. One", 1), ("value", "B. Two", 1), ("value", "C. Three", 1), ("unsure", odd, 2), ("own", None, None), ("all", None, None)]
+    # a task that keeps account of few values at once loses nothing
+    monkeypatch.setattr(packed_values, "KEPT", 2)
+    parts = [r for b in packed_values._cut("name")(iter([batch, batch])) for r in b.to_pylist()]
+    assert sum(r["n"] for r in parts if r["part"] == "unsure") == 4 and sum(r["n"] for r in parts if r["val"] == "B. Two") == 2
+    assert all(sum(x["n"] for r in parts if r["part"] == part for x in r["sums"] if x["cand"] == "") == 6 for part in ("own", "all"))
